@@ -20,7 +20,7 @@ values : value | values , value
 _SCRIPT = """
 start : stmts
 stmts : | stmts stmt
-stmt : block | ; | expr ; | VAR decls ; | func | class | import_ | export_ | if_ | loop | jump | try_ | switch_ | label stmt | typing
+stmt : block | ; | expr ; | VAR decls ; | func | class_ | import_ | export_ | if_ | loop | jump | try_ | switch_ | label stmt | typing
 label : NAME :
 block : { stmts }
 decls : decl | decls , decl
@@ -47,7 +47,7 @@ mods : | mods MOD
 tparams : | G< targs G>
 targs : targ | targs , targ
 targ : type | NAME extends type | type = type
-class : class NAME tparams heritage cbody | class heritage cbody
+class_ : class NAME tparams heritage cbody | class heritage cbody
 heritage : | heritage extends unary | heritage IMPLEMENTS types
 types : type | types , type
 cbody : { members }
@@ -64,8 +64,8 @@ cond : bin | bin ? asg : asg
 bin : unary | bin BIN bin | bin PM bin | bin MUL bin | bin in bin | bin < bin | bin > bin | bin > > bin | bin > > > bin | bin AS type
 unary : post | PRE unary | PM unary | INC unary | BANG unary | await unary
 post : prim | post INC
-prim : NAME | NUM | STR | REGEX | LIT | ( expr ) | [ items ] | O{ props } | prim . NAME | prim . PRIVATE | prim QDOT NAME | prim QDOT ( args ) | prim QDOT [ expr ] | prim ( args ) | prim [ expr ] | prim STR | prim BANG | prim G< targs G> | new prim | func_ | class | import ( args )
-func_ : fhead NAME sig block | fhead sig block
+prim : NAME | NUM | STR | REGEX | LIT | ( expr ) | [ items ] | O{ props } | prim . NAME | prim . PRIVATE | prim QDOT NAME | prim QDOT ( args ) | prim QDOT [ expr ] | prim ( args ) | prim [ expr ] | prim STR | prim BANG | prim G< targs G> | new prim | func_ | class_ | import ( args )
+func_ : fhead NAME tparams sig block | fhead tparams sig block
 args : | items_ | items_ ,
 items_ : item | items_ , item
 item : asg | DOTS asg
@@ -80,13 +80,13 @@ bound : O{ } | O{ specs } | O{ specs , } | MUL AS NAME
 specs : spec | specs , spec
 spec : word | word AS word | TYPE word
 word : NAME | default | STR
-export_ : export func | export class | export VAR decls ; | export typing | export default func_ | export default class | export default asg ; | export O{ specs } ; | export O{ } ; | export O{ specs , } ; | export O{ specs } FROM STR ; | export O{ specs , } FROM STR ; | export MUL FROM STR ; | export MUL AS NAME FROM STR ; | export = asg ;
+export_ : export func | export class_ | export VAR decls ; | export typing | export default func_ | export default class_ | export default asg ; | export O{ specs } ; | export O{ } ; | export O{ specs , } ; | export O{ specs } FROM STR ; | export O{ specs , } FROM STR ; | export MUL FROM STR ; | export MUL AS NAME FROM STR ; | export = asg ;
 """
 
 _NO_TYPES = "typing : NEVER\ntype : NEVER\n"
 
 _TYPES = """
-typing : INTERFACE NAME tparams extended tbody | TYPE NAME tparams = type ; | ENUM NAME { enumerators } | DECLARE stmt | ABSTRACT class | NAMESPACE qualified block | const ENUM NAME { enumerators }
+typing : INTERFACE NAME tparams extended tbody | TYPE NAME tparams = type ; | ENUM NAME { enumerators } | DECLARE stmt | ABSTRACT class_ | NAMESPACE qualified block | const ENUM NAME { enumerators }
 qualified : NAME | STR | qualified . NAME
 extended : | extends types
 tbody : { tmembers }
@@ -109,33 +109,33 @@ qname : NAME | qname . NAME
 GO = """
 start : package NAME ; tops
 tops : | tops top ; | tops ;
-top : import_ | decl | func
+top : import_ | decl | func_
 import_ : import spec | import ( specs )
 specs : | spec | specs ; | specs ; spec
 spec : STR | NAME STR | . STR
 decl : const cspec | const ( cspecs ) | var vspec | var ( vspecs ) | type tspec | type ( tspecs )
 cspecs : | cspec | cspecs ; | cspecs ; cspec
-cspec : names | names = exprs | names type = exprs
+cspec : names | names = exprs | names typ = exprs
 vspecs : | vspec | vspecs ; | vspecs ; vspec
-vspec : names type | names = exprs | names type = exprs
+vspec : names typ | names = exprs | names typ = exprs
 tspecs : | tspec | tspecs ; | tspecs ; tspec
-tspec : NAME type | NAME = type | NAME [ tparams ] type
+tspec : NAME typ | NAME = typ | NAME [ tparams ] typ
 names : NAME | names , NAME
-func : func NAME sig block | func NAME sig | func recv NAME sig block | func NAME [ tparams ] sig block | func recv NAME sig
+func_ : func NAME sig block | func NAME sig | func recv NAME sig block | func NAME [ tparams ] sig block | func recv NAME sig
 tparams : tparam | tparams , tparam
 tparam : NAME constraint | NAME
-constraint : type | constraint PIPE type | TILDE type
-recv : ( NAME type ) | ( type )
+constraint : typ | constraint PIPE typ | TILDE typ
+recv : ( NAME typ ) | ( typ )
 sig : ( plist ) result
 plist : | params | params ,
 params : param | params , param
-param : type | NAME type | DOTS type | NAME DOTS type
-result : | type | ( plist )
-type : tname | tname [ types ] | STAR type | [ ] type | [ expr ] type | [ DOTS ] type | map [ type ] type | chan type | ARROW chan type | chan ARROW type | func sig | struct T{ fields } | interface T{ methods } | ( type )
+param : typ | NAME typ | DOTS typ | NAME DOTS typ
+result : | typ | ( plist )
+typ : tname | tname [ types ] | STAR typ | [ ] typ | [ expr ] typ | [ DOTS ] typ | map [ typ ] typ | chan typ | ARROW chan typ | chan ARROW typ | func sig | struct T{ fields } | interface T{ methods } | ( typ )
 tname : NAME | NAME . NAME
-types : type | types , type
+types : typ | types , typ
 fields : | field | fields ; | fields ; field
-field : names type | names type STR | type | type STR
+field : names typ | names typ STR | typ | typ STR
 methods : | method | methods ; | methods ; method
 method : NAME sig | constraint
 block : { stmts }
@@ -151,9 +151,9 @@ cases : | cases case exprs : stmts | cases default : stmts | cases case exprs DE
 exprs : expr | exprs , expr
 expr : unary | expr BIN expr | expr STAR expr | expr PM expr | expr PIPE expr | expr AMP expr
 unary : prim | PM unary | STAR unary | AMP unary | BANG unary | ARROW unary | TILDE unary
-prim : NAME | NUM | STR | ( expr ) | prim . NAME | prim . ( type ) | prim . ( type_ ) | prim ( args ) | prim [ expr ] | prim [ expr , exprs ] | prim [ ospan : ospan ] | prim [ ospan : ospan : expr ] | prim L{ elems } | L{ elems } | func sig block | typed
-type_ : type
-typed : [ ] type | [ expr ] type | [ DOTS ] type | map [ type ] type | chan type | struct T{ fields } | interface T{ methods }
+prim : NAME | NUM | STR | ( expr ) | prim . NAME | prim . ( typ ) | prim . ( type_ ) | prim ( args ) | prim [ expr ] | prim [ expr , exprs ] | prim [ ospan : ospan ] | prim [ ospan : ospan : expr ] | prim L{ elems } | L{ elems } | func sig block | typed
+type_ : typ
+typed : [ ] typ | [ expr ] typ | [ DOTS ] typ | map [ typ ] typ | chan typ | struct T{ fields } | interface T{ methods }
 ospan : | expr
 args : | args_ | args_ , | args_ DOTS | args_ DOTS ,
 args_ : expr | args_ , expr
@@ -180,8 +180,7 @@ consts : const | consts , const
 const : NAME | NAME ( args ) | NAME cbody | NAME ( args ) cbody
 cbody : { members }
 members : | members member
-member : ; | mods tdecl | mods block | mods tparams_ type NAME ( params ) dims throws body | mods tparams_ name ( params ) throws body | mods type vars ; | mods name block
-tparams_ : | G< targs G>
+member : ; | mods tdecl | mods block | mods type NAME ( params ) dims throws body | mods G< targs G> type NAME ( params ) dims throws body | mods name ( params ) throws body | mods G< targs G> name ( params ) throws body | mods type vars ; | mods name block
 throws : | throws_ types
 throws_ : throws
 dims : | DIMS
@@ -218,14 +217,14 @@ cases : | cases label stmts | cases arm
 label : case exprs : | default :
 arm : case exprs ARROW result | default ARROW result
 result : expr ; | block | throw expr ;
-expr : cond | unary ASSIGN expr | unary = expr | lambda
+expr : cond | unary ASSIGN expr | unary = expr | lambda | CAST lambda
 lambda : NAME ARROW lbody | A( ) ARROW lbody | A( lparams ) ARROW lbody
 lparams : lparam | lparams , lparam
 lparam : NAME | type NAME | mods_ type NAME
 lbody : expr | block
 cond : bin | bin ? expr : expr | bin ? expr : lambda
 bin : unary | bin BIN bin | bin PM bin | bin MUL bin | bin < bin | bin > bin | bin > > bin | bin > > > bin | bin AMP bin | bin PIPE bin | bin instanceof type | bin instanceof type NAME | bin instanceof mods_ type NAME
-unary : post | PM unary | INC unary | BANG unary | CAST unary | CAST lambda
+unary : post | PM unary | INC unary | BANG unary | CAST unary
 post : prim | post INC
 prim : name | NUM | STR | LIT | this | super | ( expr ) | prim . NAME | prim . G< targs G> NAME | prim . new creator | name ( args ) | prim ( args ) | name [ expr ] | prim [ expr ] | new creator | name . this | name . class | type_ . class | name REF NAME | prim REF NAME | name REF new | type_ REF new | switch_
 type_ : PRIM | PRIM DIMS | name DIMS | name G< targs G> | void
@@ -402,6 +401,9 @@ class Table:
                     action[END] = -1
             self.action.append(action)
             self.goto.append(goto)
+        ended = lambda n, dot: dot == len(self.rules[n][1]) and (dot > 1 or self.left[n] == "fbody")
+        #: States after a ";" that ends a statement or member, being neither one of its own nor part of a for header.
+        self.closed = {to for kernel, to in states.items() if any(ended(n, dot) and self.rules[n][1][-1] == ";" for n, dot in kernel)}
 
 
 @lru_cache(maxsize=None)

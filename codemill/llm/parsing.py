@@ -2,8 +2,9 @@
 
 Method: table-driven parsers from bundled grammars (grammars.py). The text of a file is put together from its chunks, cut
 into tokens and parsed to its end; the first error that cannot be recovered is reported. Recovered are only the semicolons
-that JavaScript and TypeScript let one leave out. Python and JSON files in which the tables find an error are checked again
-by the interpreter's own parsers, which are exact; the tables alone never flag such a file.
+that JavaScript and TypeScript let one leave out: at most one before a token, at the end of a line, of a block or of the text,
+and never as a statement of its own. Python files are decided by the interpreter's own parser, which is exact, and so are JSON
+files that the tables refuse; the tables give the place of the error, or the interpreter where they find none.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codemill.llm.grammars import END, table
+from codemill.llm.grammars import END, Table, table
 
 LANGUAGE = {"py": "python", "js": "javascript", "ts": "typescript", "go": "go", "java": "java", "json": "json"}
 
@@ -426,6 +427,17 @@ def tokens_of(text: str, language: str) -> list[Token]:
     return {"json": _json, "python": _python, "go": _go, "java": _java}[language](text)
 
 
+def _closes(tab: Table, stack: list[int]) -> bool:
+    """Whether a semicolon here would end a statement or member, and be neither one of its own nor part of a for header."""
+    stack = list(stack)
+    while (act := tab.action[stack[-1]].get(";")) is not None and act < -1:
+        rule = -1 - act
+        if tab.size[rule]:
+            del stack[-tab.size[rule] :]
+        stack.append(tab.goto[stack[-1]][tab.left[rule]])
+    return act is not None and act in tab.closed
+
+
 def parse(text: str, language: str) -> tuple[int, str] | None:
     """None if the whole text parses by the tables, else place and kind of the first error that cannot be recovered."""
     try:
@@ -441,20 +453,20 @@ def parse(text: str, language: str) -> tuple[int, str] | None:
     while i < n:
         t = tokens[i]
         kind = t.kind
-        inserted = False
+        inserted = False  # before this token
         while True:
             act = action[stack[-1]].get(kind)
             if act is None:
-                if script and not inserted and (t.newline or t.text == "}" or kind == END or (i and tokens[i - 1].text == ")" and kind != ";")):
+                if script and not inserted and (t.newline or t.text == "}" or kind == END):
                     # a semicolon that may be left out
-                    if ";" in action[stack[-1]]:
+                    if _closes(tab, stack):
                         kind, inserted = ";", True
                         continue
                 return t.at, "unexpected end" if t.kind == END else f"unexpected {t.text[:20]!r}"
             if act >= 0:
                 stack.append(act)
-                if inserted:
-                    kind, inserted = t.kind, False
+                if kind != t.kind:
+                    kind = t.kind
                     continue
                 break
             rule = -1 - act
@@ -474,20 +486,24 @@ def _no_constant(name: str) -> None:
 def first_error(text: str, language: str) -> tuple[int, str] | None:
     """(line, kind) of the first error; None for valid text. An empty text is valid but as JSON."""
     found = parse(text, language)
-    if found is None:
-        return None
     try:
         if language == "python":
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
                 ast.parse(text)
             return None
-        if language == "json":
+        if language == "json" and found:
             json.loads(text, parse_constant=_no_constant)
             return None
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        pass
-    return text.count("\n", 0, found[0]) + 1, found[1]
+    except SyntaxError as e:
+        if found is None:
+            return e.lineno or 1, e.msg
+    except ValueError as e:
+        if found is None:
+            return 1, str(e)
+    except (RecursionError, MemoryError):
+        pass  # too deep for the exact parser; the tables decide
+    return (text.count("\n", 0, found[0]) + 1, found[1]) if found else None
 
 
 def file_text(chunks: list[dict]) -> str:
