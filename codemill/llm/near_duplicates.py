@@ -29,8 +29,8 @@ TOKEN = re.compile(r"[a-z0-9_]+")
 MIN_TOKENS, WIDTH, THRESHOLD = 30, 3, 0.6
 BANDS, ROWS, BITS, RADIUS = 30, 3, 128, 46
 BLOCK = 1500
-#: Classes of equal token sets above this size give pairs of the representative with each member, not all pairs.
-EXPAND = 200
+#: Members of one block of a class; pairs of blocks are expanded in tasks of their own.
+SPREAD = 512
 
 _rng = np.random.default_rng(20_240_117)
 _MUL = _rng.integers(1, 2**63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -221,24 +221,26 @@ def classes_and_links(chunks: DataFrame, rec_id: str = "rec_id", content: str =
     return members, links
 
 
+def _blocked(members: DataFrame) -> DataFrame:
+    """rep, block, recs: the members of each class in blocks of about SPREAD."""
+    size = members.groupBy("rep").agg(F.ceil(F.count("*") / F.lit(SPREAD)).cast("int").alias("n"))
+    placed = members.join(size, "rep").select("rep", F.pmod(F.xxhash64("rec_id"), F.col("n")).cast("int").alias("block"), "rec_id")
+    return placed.groupBy("rep", "block").agg(F.collect_list("rec_id").alias("recs"))
+
+
 def near_duplicate_pairs(chunks: DataFrame) -> DataFrame:
-    """rec_a < rec_b of all near-copies. A class of more than EXPAND equal sets is given by pairs with its representative."""
+    """rec_a < rec_b of all near-copies: every pair within a class of equal sets, whatever its size, and every pair of members
+    of two linked classes. Large classes are cut into blocks, and each pair of blocks is expanded for itself."""
     members, links = classes_and_links(chunks)
-    members = staged(members, "near-duplicate-members")
-    size = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1")
-    twins = members.join(size, "rep")
-    mine, other = twins.select("rep", F.col("rec_id").alias("x"), "n"), twins.select("rep", F.col("rec_id").alias("y"))
-    small = mine.where(F.col("n") <= EXPAND).join(other, "rep").where("x < y").select("x", "y")
-    large = mine.where((F.col("n") > EXPAND) & (F.col("x") > F.col("rep"))).select(F.col("rep").alias("x"), F.col("x").alias("y"))
-    # a large class takes part in links between different texts through its representative
-    speak = members.join(size, "rep", "left").where((F.coalesce("n", F.lit(1)) <= EXPAND) | (F.col("rec_id") == F.col("rep"))).select("rep", "rec_id")
-    across = (
-        links.join(speak.select(F.col("rep").alias("a"), F.col("rec_id").alias("x")), "a")
-        .join(speak.select(F.col("rep").alias("b"), F.col("rec_id").alias("y")), "b")
-        .select("x", "y")
-    )
-    pairs = small.union(large).union(across)
-    return pairs.select(F.least("x", "y").alias("rec_a"), F.greatest("x", "y").alias("rec_b")).distinct()
+    blocks = staged(_blocked(staged(members, "near-duplicate-members")), "near-duplicate-blocks")
+    count = blocks.groupBy("rep").agg(F.count("*").alias("blocks"), F.sum(F.size("recs")).alias("n"))
+    left, right = blocks.select(F.col("rep").alias("a"), F.col("block").alias("i"), F.col("recs").alias("xs")), blocks.select(F.col("rep").alias("b"), F.col("block").alias("j"), F.col("recs").alias("ys"))
+    own = count.where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    sides = own.union(links.select("a", "b")).join(left, "a").join(right, "b").where("a <> b or i <= j")
+    spread = sides.repartition("a", "b", "i", "j")
+    pairs = spread.select(F.explode("xs").alias("x"), "a", "b", "i", "j", "ys").select("x", F.explode("ys").alias("y"), "a", "b", "i", "j")
+    # within one block each pair stands twice; elsewhere no pair can, as classes and blocks share no member
+    return pairs.where("a <> b or i <> j or x < y").select(F.least("x", "y").alias("rec_a"), F.greatest("x", "y").alias("rec_b"))
 
 
 def near_duplicate_groups(chunks: DataFrame) -> DataFrame:
