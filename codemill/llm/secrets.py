@@ -36,20 +36,23 @@ SENSITIVE = {"password", "passwd", "pwd", "pass", "passphrase", "passcode", "sec
 BEFORE_KEY = {"api", "aws", "cloud", "service", "access", "secret", "private", "salt", "signing", "encryption", "master", "storage", "account", "client", "server", "deploy", "session", "cookie", "hmac", "webhook", "stripe", "license", "crypt", "auth", "app", "admin"}
 #: A name that ends so speaks about a secret and does not hold one.
 NOT_LAST = {"file", "path", "dir", "url", "uri", "name", "type", "length", "len", "count", "ttl", "expiry", "expires", "header", "field", "label", "hint", "prompt", "policy", "hash", "sum", "checksum", "public", "ref", "size", "id", "timeout", "format", "regex", "pattern"}
-#: What a line must contain, in lower case, to be looked at.
-HINTS = ("passw", "pwd", "passphrase", "_pass", "-pass", "pass", "secret", "token", "key", "auth", "bearer", "jwt", "credential", "://", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat", "xox", "k_live", "k_prod", "npm_", "eyj", "glpat", "aiza", "basic ")
+#: A key that ends so, under a key that holds secrets, is about the secret or its owner.
+ABOUT = {"user", "username", "email", "mail", "host", "hostname", "port", "region", "issuer", "audience", "scope", "scopes", "algorithm", "alg", "version", "kid", "date", "time", "at", "created", "updated", "rotated", "integrity", "resolved", "endpoint", "project", "image", "digest", "fingerprint", "prefix", "suffix", "kind", "description", "comment", "note", "owner", "revision", "commit", "provider", "store", "mount"}
 
 STRING = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`(?:[^`\\\n]|\\.)*`'
 LITERAL = re.compile(STRING)
-ASSIGNED = re.compile(rf"""(?P<key>[A-Za-z_$][\w.$\-]*)["'`]?\]?\s*(?::\s*[A-Za-z_][\w<>\[\] |]*?=|:=|=>|==?|:|,)\s*(?P<value>(?:{STRING})(?:\s*\+?\s*(?:{STRING}))*)""")
+ASSIGNED = re.compile(
+    rf"""(?<![\w.$\-])(?P<key>[A-Za-z_$][\w.$\-]*)["'`]?\]?(?:\s*(?::\s*[A-Za-z_][\w<>\[\] |]*?=|:=|=>|==?|:)\s*|[ \t]*,[ \t]*)(?P<open>\(\s*)?"""
+    rf"""(?P<value>(?:{STRING})(?:(?:\s*\+\s*|[ \t]*(?:\\\r?\n[ \t]*)?|(?(open)\s*))(?:{STRING}))*)"""
+)
 LOOSE = re.compile(r"""(?P<key>[A-Za-z_][\w.\-]*)\s*(?::=|=|:)\s*(?P<value>[^\s"'`(){}\[\];,<>]{8,})""")
 COMMENT = re.compile(r"(?:^|\s)(?://|#|\*|--|<!--)\s?")
 PROVIDER = re.compile(
     r"(?<![A-Za-z0-9+/_\-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|xox[abprs]-[A-Za-z0-9\-]{20,}|[sr]k_(?:live|prod)_[A-Za-z0-9]{16,}"
     r"|npm_[A-Za-z0-9]{30,}|glpat-[\w\-]{18,}|AIza[\w\-]{35}|eyJ[\w\-]{10,}\.eyJ[\w\-]{10,}\.[\w\-]{16,})(?![A-Za-z0-9+/_\-=])"
 )
-ADDRESS = re.compile(r"[a-z][a-z0-9+.\-]*://[^\s:/@\"'`<>]*:(?P<value>[^\s/@\"'`<>]+)@[\w.\-]")
-HEADER = re.compile(r"(?i)\b(?:basic|bearer|token)\s+(?P<value>[A-Za-z0-9+/=_.\-]{12,})")
+ADDRESS = re.compile(r"(?<=[a-z0-9+.\-])://[^\s:/@\"'`<>]*:(?P<value>[^\s/@\"'`<>]+)@[\w.\-]")
+HEADER = re.compile(r"(?i)\b(?:basic|bearer|token)[ \t]+(?P<value>[A-Za-z0-9+/=_.\-]{12,})")
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PEM_BODY = re.compile(r"(?:\s|\\n|\\r|[\"'`+,;]|[A-Z][\w\-]*:[^\n]*\n)*[A-Za-z0-9+/=]{40,}")
 PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
@@ -80,6 +83,17 @@ def sensitive(name: str) -> bool:
     return parts[-1] == "key" and any(p in BEFORE_KEY or p in SENSITIVE for p in parts[:-1])
 
 
+def under_sensitive(path: tuple[str, ...]) -> bool:
+    """Whether a value at this path of a settings file is one of a key that holds a secret: its own key or, unless a nearer one
+    speaks about a secret, one above it."""
+    for name in reversed(path):
+        if sensitive(name) or (name[-1:] in ("s", "S") and sensitive(name[:-1])):  # a list has its key in the plural
+            return True
+        if (parts := name_parts(name.rsplit(".", 1)[-1])) and parts[-1] in NOT_LAST | ABOUT:
+            return False
+    return False
+
+
 def secret_shape(value: str) -> bool:
     """Whether the value looks random or like a password, and not like a word, number, path, reference or placeholder."""
     v = value.strip()
@@ -98,9 +112,11 @@ def _joined(text: str, lo: int, hi: int) -> tuple[str, list[tuple[int, int]]]:
     return "".join(text[a:b] for a, b in spans), spans
 
 
-YAML_LINE = re.compile(r"^(?P<indent>[ \t]*)(?:-[ \t]+)?(?P<key>[\w.\-]+|\"[^\"\n]+\"|'[^'\n]+')[ \t]*:(?:[ \t]+(?P<value>[^\n]*?))?[ \t\r]*$", re.M)
+YAML_LINE = re.compile(r"^(?P<lead>[ \t]*(?:-[ \t]+)*)(?:(?P<key>[\w.\-]+|\"[^\"\n]+\"|'[^'\n]+')[ \t]*:(?:[ \t]+(?P<value>[^\n]*?))?|(?P<item>[^\s#\-][^\n]*?|-[^\s\-][^\n]*?))[ \t\r]*$", re.M)
 PAIR_LINE = re.compile(r"^[ \t]*(?:export[ \t]+)?(?P<key>[\w.\-]+|\"[^\"\n]+\")[ \t]*=[ \t]*(?P<value>[^\n]*?)[ \t\r]*$|^[ \t]*\[+(?P<section>[^\]\n]+)\]+", re.M)
-JSON_TOKEN = re.compile(r'"(?:[^"\\\n]|\\.)*"|[{}\[\],:]')
+FLOW = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'[^\'\n]*\'|(?<!\S)#[^\n]*|[{}\[\],]|[^\s{}\[\],"\']+')
+SEPARATOR = {":": re.compile(r"\s*:"), "=": re.compile(r"\s*=")}
+BLOCK_SCALAR = re.compile(r"[|>][+\-\d]*(?:\s+#.*)?$")
 
 
 def _scalar(text: str, lo: int, hi: int) -> tuple[int, int]:
@@ -112,107 +128,134 @@ def _scalar(text: str, lo: int, hi: int) -> tuple[int, int]:
     return lo, len(text[: m.start() if m else hi].rstrip()) if m else hi
 
 
-def config_entries(text: str, kind: str) -> Iterator[Entry]:
-    """Key paths of a settings file with the places of their values. kind: env, toml, yaml, json."""
-    if kind == "json":
-        stack: list[str | int] = []
-        key, last, want = None, None, False
-        for m in JSON_TOKEN.finditer(text):
-            t = m.group()
-            if t in "{[":
-                stack.append(key if key is not None else "*")
-                key, want = None, False
-            elif t in "}]":
-                if stack:
-                    stack.pop()
-                key, want = None, False
-            elif t == ":":
-                key, want = last, True
-            elif t == ",":
-                key, want = None, False
+def _flow(text: str, at: int, path: tuple[str, ...], sign: str, found: list[tuple[tuple[str, ...], int, int]]) -> int:
+    """Values of the map or list that begins at `at`, with their key paths; elements of a list have the path of the list. The
+    place after its end."""
+    stack: list[tuple[str, ...]] = []
+    own = path
+    for m in FLOW.finditer(text, at):
+        t = m.group()
+        if t in ("{", "["):
+            stack.append(own)
+        elif t in ("}", "]"):
+            if stack:
+                stack.pop()
+            if not stack:
+                return m.end()
+            own = stack[-1]
+        elif t == ",":
+            own = stack[-1] if stack else path
+        elif t == sign or t.startswith("#"):
+            continue
+        else:
+            quoted = t[0] in "\"'"
+            lo, hi = (m.start() + 1, m.end() - 1) if quoted else m.span()
+            if not quoted and t.endswith(sign):
+                own = (stack[-1] if stack else path) + (t[:-1],)
+            elif SEPARATOR[sign].match(text, m.end()):
+                own = (stack[-1] if stack else path) + (text[lo:hi],)
             else:
-                last = t[1:-1]
-                if want:
-                    yield Entry(".".join([*map(str, stack[1:]), str(key)]), str(key), last, [(m.start() + 1, m.end() - 1)])
-        return
-    if kind == "yaml":
+                found.append((own, lo, hi))
+    return len(text)
+
+
+def config_entries(text: str, kind: str) -> Iterator[tuple[tuple[str, ...], Entry]]:
+    """Key paths of a settings file with the places of their values, elements of lists too. kind: env, toml, yaml, json."""
+    found: list[tuple[tuple[str, ...], int, int]] = []
+    past = 0
+    if kind == "json":
+        while past < len(text):
+            past = _flow(text, past, (), ":", found)
+    elif kind == "yaml":
         levels: list[tuple[int, str]] = []
+        open_key = False  # the last key has its value on the lines after it
         for m in YAML_LINE.finditer(text):
-            indent = len(m["indent"].expandtabs())
-            while levels and levels[-1][0] >= indent:
-                levels.pop()
-            key = m["key"].strip("\"'")
-            levels.append((indent, key))
-            if m["value"]:
-                lo, hi = _scalar(text, m.start("value"), m.end("value"))
-                yield Entry(".".join(k for _, k in levels), key, text[lo:hi], [(lo, hi)])
-        return
-    section = ""
-    for m in PAIR_LINE.finditer(text):
-        if m["section"]:
-            section = m["section"].strip() + "."
-        elif m["value"]:
-            lo, hi = _scalar(text, m.start("value"), m.end("value"))
-            key = m["key"].strip('"')
-            yield Entry(section + key, key, text[lo:hi], [(lo, hi)])
-
-
-def _hinted_lines(text: str) -> list[tuple[int, int]]:
-    low = text.lower()
-    if len(low) != len(text):  # a letter whose lower case is longer
-        low = "".join(c.lower() if c.isascii() else c for c in text)
-    found: dict[int, int] = {}
-    for hint in HINTS:
-        at = low.find(hint)
-        while at >= 0:
-            end = text.find("\n", at)
-            end = len(text) if end < 0 else end
-            found[text.rfind("\n", 0, at) + 1] = end
-            at = low.find(hint, end)
-    return sorted((lo, hi) for lo, hi in found.items() if DIGIT.search(text, lo, hi) or hi - lo >= 24)
-
-
-def source_entries(text: str, lines: list[tuple[int, int]]) -> Iterator[Entry]:
-    """Names and the literals that they are set to; loose name = value pairs in comments too. Lines without a hint or a digit
-    are passed over; every shape of a secret that a name alone gives away has one or is long."""
-    for lo, done in lines:
-        for m in ASSIGNED.finditer(text, lo, done):
-            if sensitive(m["key"]) or "://" in m["value"] or m["value"].count(m["value"][0]) > 2:
-                value, spans = _joined(text, m.start("value"), m.end("value"))
-                yield Entry(m["key"], m["key"], value, spans)
-        if c := COMMENT.search(text, lo, done):
-            for m in LOOSE.finditer(text, c.end(), done):
-                v = m["value"].rstrip(".,")
-                yield Entry(m["key"], m["key"], v, [(m.start("value"), m.start("value") + len(v))])
-
-
-DIGIT = re.compile(r"\d")
+            if m.start() < past:
+                continue
+            indent = len(m["lead"].expandtabs())
+            listed = "-" in m["lead"]
+            if m["key"]:
+                while levels and levels[-1][0] >= indent:
+                    levels.pop()
+                levels.append((indent, m["key"].strip("\"'")))
+                open_key = not m["value"] or m["value"].startswith("#") or bool(BLOCK_SCALAR.match(m["value"]))
+                part = "value"
+            else:
+                while levels and levels[-1][0] >= indent:
+                    levels.pop()
+                part = "item"
+                if not listed and not open_key and m["item"][0] not in "{[":
+                    continue
+            path = tuple(k for _, k in levels)
+            if m["key"] and open_key:
+                continue
+            if m[part][0] in "{[" and not m[part].startswith("{{"):
+                past = _flow(text, m.start(part), path, ":", found)
+            else:
+                found.append((path, *_scalar(text, m.start(part), m.end(part))))
+    else:
+        section: tuple[str, ...] = ()
+        for m in PAIR_LINE.finditer(text):
+            if m.start() < past:
+                continue
+            if m["section"]:
+                section = tuple(m["section"].strip().split("."))
+            elif m["value"]:
+                path = (*section, m["key"].strip('"'))
+                if kind == "toml" and m["value"][0] in "{[":
+                    past = _flow(text, m.start("value"), path, "=", found)
+                elif kind == "toml" and m["value"][:3] in ('"""', "'''"):
+                    end = text.find(m["value"][:3], m.start("value") + 3)
+                    past = len(text) if end < 0 else end
+                    body = text[m.start("value") + 3 : past]
+                    lo = m.start("value") + 3 + len(body) - len(body.lstrip())
+                    found.append((path, lo, lo + len(body.strip())))
+                else:
+                    found.append((path, *_scalar(text, m.start("value"), m.end("value"))))
+    for path, lo, hi in found:
+        yield path, Entry(".".join(path), path[-1] if path else "", text[lo:hi], [(lo, hi)])
+
+
+def source_entries(text: str) -> Iterator[Entry]:
+    """Names and the literals that they are set to, on their line or after it; loose name = value pairs in comments too."""
+    for m in ASSIGNED.finditer(text):
+        if sensitive(m["key"]) or "://" in m["value"] or m["value"].count(m["value"][0]) > 2:
+            value, spans = _joined(text, m.start("value"), m.end("value"))
+            yield Entry(m["key"], m["key"], value, spans)
+    done = 0
+    for c in COMMENT.finditer(text):
+        if c.end() <= done:
+            continue
+        done = text.find("\n", c.end() - 1)
+        done = len(text) if done < 0 else done
+        for m in LOOSE.finditer(text, c.end(), done):
+            v = m["value"].rstrip(".,")
+            yield Entry(m["key"], m["key"], v, [(m.start("value"), m.start("value") + len(v))])
+
+
 KINDS = {"env": "env", "toml": "toml", "ini": "toml", "cfg": "toml", "properties": "env", "yml": "yaml", "yaml": "yaml", "json": "json"}
 
 
 def find_secrets(text: str, path: str | None = None) -> list[Secret]:
     """Secrets of a text in order of their place; overlapping finds are one."""
-    lines = _hinted_lines(text)
-    if not lines:
-        return []
     found: list[Secret] = []
     kind = KINDS.get((path or "").rsplit(".", 1)[-1].lower())
-    for e in [*(config_entries(text, kind) if kind else ()), *source_entries(text, lines)]:
-        if sensitive(e.key) and secret_shape(e.value):
+    settings = [(e, under_sensitive(p)) for p, e in config_entries(text, kind)] if kind else []
+    for e, tells in [*settings, *((e, sensitive(e.key)) for e in source_entries(text))]:
+        if tells and secret_shape(e.value):
             found.append(Secret("named", e.path, e.spans))
         elif len(e.spans) > 1 and (PROVIDER.search(e.value) or ADDRESS.search(e.value)) and not PLACEHOLDER.search(e.value.rpartition("://")[2]):
             found.append(Secret("token", e.path, e.spans))
-    for lo, hi in lines:
-        for m in PROVIDER.finditer(text, lo, hi):
-            if not re.search(r"(?i)example|xxxx|0000000|1234567|abcdefg", m.group()):
-                found.append(Secret("token", "", [m.span()]))
-        for m in ADDRESS.finditer(text, lo, hi):
-            v = m["value"]
-            if not (PLACEHOLDER.search(v) or re.match(r"[$%{*]", v) or v.lower() in ("password", "pass", "pwd", "secret", "user") or len(v) < 4):
-                found.append(Secret("address", "", [m.span("value")]))
-        for m in HEADER.finditer(text, lo, hi):
-            if secret_shape(m["value"]):
-                found.append(Secret("header", "", [m.span("value")]))
+    for m in PROVIDER.finditer(text):
+        if not re.search(r"(?i)example|xxxx|0000000|1234567|abcdefg", m.group()):
+            found.append(Secret("token", "", [m.span()]))
+    for m in ADDRESS.finditer(text):
+        v = m["value"]
+        if not (PLACEHOLDER.search(v) or re.match(r"[$%{*]", v) or v.lower() in ("password", "pass", "pwd", "secret", "user") or len(v) < 4):
+            found.append(Secret("address", "", [m.span("value")]))
+    for m in HEADER.finditer(text):
+        if secret_shape(m["value"]):
+            found.append(Secret("header", "", [m.span("value")]))
     for m in PEM.finditer(text):
         if PEM_BODY.match(text, m.end()):
             end = PEM_END.search(text, m.end())
