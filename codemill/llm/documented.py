@@ -138,8 +138,19 @@ MARKER = re.compile(r"^[ \t]*(?:/\*+!?|\*+/|\*(?!\*)|//+!?|#+!?|;+|--)|\*+/[ \t]
 QUOTE = re.compile(r'^\s*[rRuUbBfF]{0,2}("""|\'\'\'|"|\')|("""|\'\'\'|"|\')\s*$')
 TAG = re.compile(r"^\s*(?:[@\\](?:param|returns?|throws?|raises|exception|see|since|version|author|deprecated|type|typedef|template|example|private|public|internal|override|async|default|property|todo|link|yields?|arg|argument|memberof|module|class|function|name)\b|@\w+|:\w+[^:\n]*:)")
 SECTION = re.compile(r"^\s*(?:Args|Arguments|Parameters|Params|Returns?|Raises|Yields|Throws|Examples?|Attributes|Notes?|See Also|Usage)\s*:?\s*$", re.I)
-DIRECTIVE = re.compile(r"(?i)eslint|prettier-ignore|istanbul|c8 ignore|@ts-|tslint|jshint|noqa|nolint|pylint|pyright|mypy|type:\s*ignore|nosec|nosonar|go:\w+|checkstyle|suppress|pragma|coding[:=]|codespell|clang-format|fmt:\s*o|yapf|isort|flake8|sonar|webpack\w+:|@__pure__|#region|#endregion|copyright|spdx-|licen[cs]e, version")
-HOLDER = re.compile(r"(?i)^\s*(?:todo|fixme|xxx|hack|tbd|wip|n/a|none|placeholder|document (?:this|me)|description|missing|undocumented|auto-?generated)\b")
+_ORDER = (
+    r"eslint-(?:disable|enable|env)|eslint\s+[\w-]+\s*:|prettier-ignore|istanbul\s+ignore|c8\s+ignore|@ts-\w|tslint:|jshint\s+[\w-]+\s*:|noqa\b|nolint\b|pylint:|pyright:|mypy:|type:\s*ignore|nosec\b|nosonar\b|go:\w"
+    r"|checkstyle[:.]|@?suppress(?:warnings\b|\s*[:(])|noinspection\s+\w+\s*$|pragma(?::|\s+(?:no|once|region|mark|warning)\b)|coding[:=]|codespell:|clang-format\s+o|fmt:\s*o|yapf:|isort:|flake8:|sonar[:\-.]|webpack\w+:|@__pure__|#(?:end)?region"
+)
+#: A line that begins as an order to a tool or as a notice of rights; and an order behind the prose of a line.
+DIRECTIVE = re.compile(rf"(?i)^[\s*\-#]*(?:{_ORDER}|copyright\s*(?:\(c\)|©|\d)|spdx-|[\w .\-]{{0,40}}licen[cs]e, version \S+\s*$)")
+TRAILING = re.compile(rf"(?i)\s+(?:#|//)\s*(?:{_ORDER}).*$")
+#: A line that is a placeholder as a whole, or begins with the mark of one.
+HOLDER = re.compile(
+    r"^\s*(?:(?:TODO|FIXME|XXX|HACK|TBD|WIP)\b|(?i:(?:todo|fixme|xxx|hack|tbd|wip)\s*(?:[:(]|$)"
+    r"|(?:n/a|none|placeholder|description|missing|undocumented|document (?:this|me)|auto-?generated)(?:\s+(?:text|description|docs?|docstring|comment|documentation|function|method|here|goes here|to be (?:added|written|done)|later|please|stub))*\s*[.:!]*\s*$"
+    r"|auto-?generated\s+(?:by|from|code|file|method|constructor|catch)\b))"
+)
 MARKUP = re.compile(r"```.*?```|~~~.*?~~~|<pre>.*?</pre>|<code>.*?</code>|\{@(?:code|link|linkplain|literal|inheritDoc|value)[^}]*\}|`[^`\n]*`|<[^>\n]+>|https?://\S+|&\w+;", re.S)
 CODE_WORD = re.compile(r"\S*(?:[a-z][A-Z]|\w_\w|\w\(|\w\.\w+\(|::|=>|->|[{}\[\];=<>|\\])\S*")
 CALL = re.compile(r"[\w.$]+\([^()\n]*\)")
@@ -171,7 +182,8 @@ def plain(description: str) -> str:
         if tag and depth > 1:
             continue  # a tag's text goes on
         tag = False
-        if DIRECTIVE.search(line) or HOLDER.match(line) or re.search(r"[;{}]\s*$", line):
+        bare = TRAILING.sub("", bare)
+        if DIRECTIVE.match(line) or HOLDER.match(line) or re.search(r"[;{}]\s*$", line):
             continue
         kept.append(bare)
     return " ".join(kept).strip()
@@ -191,7 +203,7 @@ def documented(text: str | None, path: str | None, symbol: str | None, doc: str
     if not text or language is None:
         return []
     own = (symbol or "").rsplit(".", 1)[-1]
-    if not doc and not re.search(r"\"\"\"|'''|#" if language == "python" else r"//|/\*", text):
+    if not doc and not re.search(r"[\"'#]" if language == "python" else r"//|/\*", text):
         return []
     comments, strings, code = spans(text, language)
     found, runs = {}, comment_runs(text, comments)
