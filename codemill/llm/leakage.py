@@ -1,11 +1,10 @@
 """Problem 9: evaluation passages that stand in training texts.
 
-Method: MinHash containment search with items partitioned by size. The shingles are runs of eight words. As one shared
-shingle is a case already, the containment to find is 1 / (shingles of the item), so a partition of items of up to n shingles
-keeps n MinHash values an item: the least size at which no item of the partition can lose a shingle. Each partition's values
-are probed with those of the (long) documents, and every hit is verified by comparing the eight words themselves.
+Method: exact look-up of shared runs. The shingles are runs of eight words, and one shared shingle is a case already, so a
+MinHash sketch that loses none must keep all of an item's shingles. All hashes of an item are kept, without partitions by
+size; those of the documents are looked up in them, and every hit is verified by comparing the eight words themselves.
 
-Items are a small fixed set; their sketches are broadcast only up to SENT_ROWS shingles and joined by a shuffle beyond that.
+Items are a small fixed set; their hashes are broadcast only up to SENT_ROWS shingles and joined by a shuffle beyond that.
 """
 
 from __future__ import annotations
@@ -47,17 +46,16 @@ def run_hashes(tokens: list[str], hashes: dict) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def _item_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _item_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hashes, rows = _Hashes(), []
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             tokens = words(text) if text else []
             values = run_hashes(tokens, hashes)
             if len(values):
-                size = 1 << (len(values) - 1).bit_length()  # the partition's upper bound
-                low, at = np.unique(values, return_index=True)  # MinHash values in order; all, as size >= len(low)
-                rows += [(item, size, v, " ".join(tokens[i : i + RUN])) for v, i in zip(low.view(np.int64).tolist()[:size], at.tolist())]
-        yield _batch(rows, ["item_id", "size", "value", "run"], [pa.int64(), pa.int32(), pa.int64(), pa.string()])
+                low, at = np.unique(values, return_index=True)
+                rows += [(item, v, " ".join(tokens[i : i + RUN])) for v, i in zip(low.view(np.int64).tolist(), at.tolist())]
+        yield _batch(rows, ["item_id", "value", "run"], [pa.int64(), pa.int64(), pa.string()])
 
 
 def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
@@ -107,7 +105,7 @@ def leaked(documents: DataFrame, items: DataFrame, sent_rows: int = SENT_ROWS) -
     Null, empty and shorter texts have no rows; repeated rows count once; other columns are ignored."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     tests = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    sketches = tests.mapInArrow(_item_sketches, "item_id long, size int, value long, run string")
+    sketches = tests.mapInArrow(_item_runs, "item_id long, value long, run string")
     head = sketches.limit(sent_rows + 1).toArrow()
     if head.num_rows <= sent_rows:
         value = head.column("value").to_numpy().view(np.uint64)
