@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codemill.llm import documented, leakage, near_duplicates, nearest_vectors, parsing, secrets, splitting, tokenizing, toxicity
+from codemill.llm import documented, handwritten, leakage, near_duplicates, nearest_vectors, parsing, secrets, splitting, tokenizing, toxicity
 from codemill.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +23,9 @@ def _on_documents(operator: Callable[..., DataFrame], *more: str) -> Query:
 QUERIES: dict[str, Query] = {
     "p1_found": _on_chunks(near_duplicates.near_duplicate_pairs),
     "p2_found": _on_chunks(splitting.oversized),
+    "p3_found": _on_chunks(handwritten.not_handwritten),
     "p4_found": _on_chunks(parsing.unparsable),
+    "p4_rates": _on_chunks(parsing.error_rates),
     "p5_found": _on_chunks(nearest_vectors.neighbour_pairs),
     "p6_found": _on_chunks(lambda chunks: documented.documented_functions(chunks).select("rec_id", "func_name").distinct()),
     "p7_found": _on_chunks(secrets.secret_lines),
