@@ -238,9 +238,9 @@ start : stmts
 stmts : | stmts stmt
 stmt : simples NEWLINE | simples ; NEWLINE | compound | NEWLINE
 simples : simple | simples ; simple
-simple : tests | tests augassign tests | tests augassign yield_ | chain | tests : test | tests : test = tests | tests : test = yield_ | yield_ | pass | break | continue | return | return tests | raise | raise test | raise test from test | global names | nonlocal names | del tests | assert test | assert test , test | import_ | TYPE NAME = test
-augassign : ASSIGN
-chain : tests = tests | tests = yield_ | chain = tests | chain = yield_
+simple : tests | tests ASSIGN value | chain | tests : test | tests : test = value | pass | break | continue | return | return tests | raise | raise test | raise test from test | global names | nonlocal names | del exprs | assert test | assert test , test | import_ | yield_ | TYPE NAME tparams = test
+value : tests | yield_
+chain : tests = value | chain = value
 yield_ : yield | yield tests | yield from test
 names : NAME | names , NAME
 import_ : import dotted_as | from source import MUL | from source import imported | from source import ( imported ) | from source import ( imported , )
@@ -251,54 +251,68 @@ dotted_as : as_name | dotted_as , as_name
 as_name : dotted | dotted as NAME
 imported : one | imported , one
 one : NAME | NAME as NAME
-compound : if_ | while test_ : suite | while test_ : suite else : suite | for_ | try_ | with_ | def_ | class_ | decorators def_ | decorators class_ | ASYNC def_ | ASYNC for_ | ASYNC with_ | decorators ASYNC def_ | match_
+compound : if_ | while_ | for_ | try_ | with_ | def_ | class_ | decorators def_ | decorators class_ | ASYNC def_ | ASYNC for_ | ASYNC with_ | decorators ASYNC def_ | match_
 decorators : @ test_ NEWLINE | decorators @ test_ NEWLINE
 suite : simples NEWLINE | simples ; NEWLINE | NEWLINE INDENT body DEDENT
 body : stmt | body stmt
-if_ : if test_ : suite elifs | if test_ : suite elifs else : suite
+else_ : | else : suite
+if_ : if test_ : suite elifs else_
 elifs : | elifs elif test_ : suite
-for_ : for tests in tests : suite | for tests in tests : suite else : suite
-try_ : try : suite excepts | try : suite finally : suite | try : suite excepts finally : suite | try : suite excepts else : suite | try : suite excepts else : suite finally : suite
+while_ : while test_ : suite else_
+for_ : for exprs in tests : suite else_
+try_ : try : suite finally : suite | try : suite excepts else_ | try : suite excepts else_ finally : suite
 excepts : except_ | excepts except_
 except_ : except : suite | except tests : suite | except test as NAME : suite | except MUL test : suite | except MUL test as NAME : suite
-with_ : with tests : suite | with items : suite | with ( items ) : suite | with ( items , ) : suite
-items : item | items , item | items , test | test , item
-item : test as target
-target : star
-def_ : def NAME tparams ( params ) : suite | def NAME tparams ( params ) RARROW test_ : suite
-tparams : | [ tests ]
-params : | params_ | params_ ,
-params_ : param | params_ , param
-param : NAME | NAME : test | NAME = test | NAME : test = test | MUL | / | MUL NAME | MUL NAME : test | POW NAME | POW NAME : test
+with_ : with tlist : suite | with items : suite
+items : test as ex | tlist , test as ex | items , test as ex | items , telem
+def_ : def NAME tparams ( params ) : suite | def NAME tparams ( params ) RARROW test : suite
+tparams : | [ tplist ] | [ tplist , ]
+tplist : tparam | tplist , tparam
+tparam : param | MUL NAME = telem
+params : | plist | plist ,
+plist : param | plist , param
+param : NAME | NAME : test | NAME = test | NAME : test = test | MUL | / | MUL NAME | MUL NAME : telem | POW NAME | POW NAME : test
 class_ : class NAME tparams : suite | class NAME tparams ( args ) : suite
 match_ : MATCH tests : NEWLINE INDENT cases DEDENT
 cases : case_ | cases case_
-case_ : CASE tests : suite | CASE tests if test : suite | CASE test as NAME : suite
-tests : star_list | star_list ,
-star_list : star | star_list , star
-star : test_ | MUL test
+case_ : CASE pattern : suite | CASE pattern if test_ : suite
+pattern : pelems | pelems ,
+pelems : pelem | pelems , pelem
+pelem : ex | MUL ex | ex as NAME
+tests : tlist | tlist ,
+tlist : telem | tlist , telem
+telem : test_ | MUL ex
 test_ : test | NAME WALRUS test
-test : cond | lambda lparams : test
-lparams : | lparams_ | lparams_ ,
-lparams_ : lparam | lparams_ , lparam
+test : or_ | or_ if or_ else test | lambda lparams : test
+lparams : | lplist | lplist ,
+lplist : lparam | lplist , lparam
 lparam : NAME | NAME = test | MUL | / | MUL NAME | POW NAME
-cond : bin | bin if bin else test
-bin : unary | bin BIN bin | bin PM bin | bin MUL bin | bin POW bin | bin / bin | bin @ bin | bin in bin | bin not in bin | bin is bin | bin is not bin | bin and bin | bin or bin
-unary : prim | PM unary | TILDE unary | not unary | await unary
-prim : NAME | NUM | strings | LIT | DOTS | ( ) | ( tests ) | ( yield_ ) | ( test_ comp ) | [ ] | [ tests ] | [ test_ comp ] | { } | { tests } | { test_ comp } | { pairs } | { pairs , } | { test : test comp } | prim . NAME | prim ( args ) | prim [ subs ]
+or_ : and_ | or_ or and_
+and_ : not_ | and_ and not_
+not_ : cmp | not not_
+cmp : ex | cmp in ex | cmp not in ex | cmp is ex | cmp is not ex
+ex : unary | ex BIN unary | ex PM unary | ex MUL unary | ex POW unary | ex / unary | ex @ unary
+unary : prim | PM unary | TILDE unary | await unary
+exprs : elist | elist ,
+elist : selem | elist , selem
+selem : ex | MUL ex
+prim : NAME | NUM | strings | LIT | DOTS | ( ) | ( inner ) | [ ] | [ inner ] | { } | { entries } | prim . NAME | prim ( args ) | prim [ subs ]
 strings : STR | strings STR
+inner : tests | yield_ | telem comp | items | items ,
+entries : tests | telem comp | pairs | pairs , | pair comp
 pairs : pair | pairs , pair
-pair : test : test | POW test
-comp : comp_for | comp comp_for | comp if bin
-comp_for : for tests in bin | ASYNC for tests in bin
-args : | args_ | args_ ,
-args_ : arg | args_ , arg
-arg : test_ | NAME = test | MUL test | POW test | test_ comp
-subs : subs_ | subs_ ,
-subs_ : sub | subs_ , sub
-sub : test_ | MUL test | slice
-slice : otest : otest | otest : otest : otest
-otest : | test
+pair : test : test | test : test as NAME | POW ex
+comp : comp_for | comp comp_for | comp if or_ | comp if lambda lparams : or_
+comp_for : for exprs in or_ | ASYNC for exprs in or_
+args : | alist | alist ,
+alist : arg | alist , arg
+arg : test_ | NAME = test | NAME = test as NAME | MUL test | POW test | test_ comp | test as NAME
+subs : slist | slist ,
+slist : sub | slist , sub
+sub : test_ | MUL ex | slice
+slice : lead | lead test | lead step | lead test step
+lead : : | test :
+step : : | : test
 """
 
 TEXTS = {"json": JSON, "javascript": _SCRIPT + _NO_TYPES, "typescript": _SCRIPT + _TYPES, "go": GO, "java": JAVA, "python": PYTHON}

@@ -61,3 +61,62 @@ def test_valid_declarations(language, text):
 @pytest.mark.parametrize("language, text", [("go", "package a\n\nfunc F( {\n}\n"), ("go", "package a\n\nfunc F() int {\n    return 1\n"), ("java", "class A { int f() { return 1 } }"), ("java", "class A { int f( { return 1; } }"), ("javascript", "export class A { f( }")])
 def test_invalid_declarations(language, text):
     assert first_error(text, language)
+
+
+VALID = """
+import os, sys as s
+from . import (a, b as c,)
+x: int = 1
+y = z = *a, b
+for i, *j in d: print(i, *j, sep="", **k)
+while (n := f(1)) and not n in x[1:2, ::3, a:]: pass
+g = [i for i in y if i if not j for k in (a if b else c)]
+h = {**a, "b": 1} | {k: v for k, v in x.items()} | {1, *t}
+l = lambda a, *b, c=1, **d: (yield)
+async def q(a, /, b: int = 2, *args: str, c, **kw) -> list[int]:
+    async with a as b, c: await d
+    return *a, b
+with (open(x) as f, open(y) as g): pass
+class A[T: int, *Ts, **P](B, metaclass=C): ...
+type X[T] = list[T]
+match x, y:
+    case {"k": [A(b=1) as c, *_], **rest} if c > 1: pass
+    case 1 | -2 | None as z: pass
+w = f"{a!r:>{width}} {'q' if b else f'{c['d']}'} {{"
+try: pass
+except* (A, B) as e: raise C from e
+else: pass
+finally: del x[0], y.z
+"""
+
+
+def test_python_table_takes_what_the_interpreter_takes():
+    import ast
+
+    from codemill.llm.parsing import parse
+
+    ast.parse(VALID)
+    assert parse(VALID, "python") is None
+
+
+def test_exact_check_overrules_no_table_on_the_test_data(spark):
+    """Of the files that ast and json take, the tables refuse none, and of those that they refuse the tables take none."""
+    import ast
+    import json
+
+    from codemill.llm.parsing import LANGUAGE, file_text, files, parse
+
+    counts = {}
+    rows = files(spark.read.parquet("/root/testdata/sf0.01/code_records.parquet").where("filePath like '%.py' or filePath like '%.json'")).collect()
+    for r in rows:
+        text, language = file_text([c.asDict() for c in r.chunks]), LANGUAGE[r.filePath.rsplit(".", 1)[-1]]
+        try:
+            ast.parse(text) if language == "python" else json.loads(text)
+            exact = True
+        except ValueError:
+            exact = False
+        except SyntaxError:
+            exact = False
+        key = (exact, parse(text, language) is None)
+        counts[key] = counts.get(key, 0) + 1
+    assert counts.get((True, False), 0) == 0 and counts.get((False, True), 0) == 0 and counts[(True, True)] > 80
