@@ -10,9 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codemill.functions import identifiers, predicates, scalars
-from codemill.operators import code_graph, imports, ranking, reports, search
+from codemill.functions import identifiers, predicates, scalars, signatures
+from codemill.operators import chunking, code_graph, conformance, imports, ranking, reports, search
+from codemill.sources import chunk_table, history, registry
 from codemill.storage import table
+from codemill.streaming import operators as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -390,3 +392,244 @@ def _api_diff(t):
     day = F.lit("1995-01-01").cast("timestamp")
     out = reports.api_diff(side(t("orders").where(F.col("o_orderdate") < day)), side(t("orders").where(F.col("o_orderdate") >= day)), F.col("base_signature") > F.col("head_signature"), None, True)
     return out.select("path", "symbolType", "symbolName", "kind")
+
+
+# chunks, registry, history, documents, streams
+
+
+@_query(
+    "chunk_windows",
+    """WITH d AS (SELECT doc_id AS id, text, unnest(CASE WHEN length(text) <= 1500 THEN [0] ELSE range(0, (length(text) - 1) // 1300 + 1) END) AS n FROM documents WHERE text IS NOT NULL), w AS (SELECT id, n, substr(text, n * 1300 + 1, 1500) AS content, substr(text, 1, n * 1300) AS before FROM d)
+SELECT id, n::INT AS n, length(content) AS size, (1 + length(before) - length(replace(before, chr(10), '')))::INT AS startLine, (1 + length(before) - length(replace(before, chr(10), '')) + length(content) - length(replace(content, chr(10), '')))::INT AS endLine FROM w WHERE regexp_matches(content, '[^ \\t\\n\\x0B\\f\\r]')""",
+)
+def _windows(t):
+    docs = t("documents").select(F.col("doc_id").alias("id"), "text")
+    return chunking.windows(docs).select("id", "n", F.length("content").cast("long").alias("size"), "startLine", "endLine")
+
+
+@_query("file_chunks")
+def _file_chunks(t):
+    """The chunker over whole files, put together from the chunks of the table."""
+    rows = search.current(_chunks(t), "project", "filePath", "content", "startLine").where("content is not null and filePath is not null")
+    files = rows.groupBy("project", "filePath").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("startLine", "rec_id", "content"))), lambda x: x["content"]), "\n").alias("text"))
+    return chunking.chunked(files.select("project", F.col("filePath").alias("path"), "text")).drop("content", "doc")
+
+
+@_query("signatures")
+def _signatures(t):
+    rows = search.current(_chunks(t), "symbolName", "language", "content").where("symbolName <> ''")
+    return rows.select("rec_id", signatures.signature("content", "language").alias("signature"))
+
+
+@_query("file_times", "SELECT index_name, file_path, max(mtime_ms) AS mtime_ms FROM file_cache GROUP BY ALL")
+def _file_times(t):
+    return registry.file_times(t("file_cache"))
+
+
+@_query("deleted_files", "SELECT DISTINCT index_name, file_path FROM file_cache EXCEPT SELECT project, filePath FROM code_records")
+def _deleted(t):
+    return registry.deleted_files(t("file_cache"), _chunks(t).select(F.col("project").alias("index_name"), F.col("filePath").alias("file_path")))
+
+
+@_query(
+    "sync_plan",
+    """WITH l AS (SELECT project AS index_name, filePath AS file_path, epoch_ms(max(indexedAt)) AS now FROM code_records WHERE filePath IS NOT NULL GROUP BY ALL), c AS (SELECT index_name, file_path, max(mtime_ms) AS was FROM file_cache GROUP BY ALL)
+SELECT index_name, file_path, CASE WHEN now IS NULL THEN 'deleted' WHEN was IS NULL THEN 'new' WHEN now::DOUBLE <> was THEN 'changed' ELSE 'unchanged' END AS change FROM l FULL JOIN c USING (index_name, file_path)""",
+)
+def _sync_plan(t):
+    listed = _chunks(t).where("filePath is not null").select(F.col("project").alias("index_name"), F.col("filePath").alias("file_path"), F.unix_millis("indexedAt").cast("double").alias("mtime_ms"))
+    return registry.sync_plan(listed, t("file_cache"))
+
+
+@_query(
+    "replaced_files",
+    f"""WITH c AS (SELECT rec_id, project, filePath, content, symbolType FROM {_ONCE}), n AS (SELECT rec_id + 1000000000 AS rec_id, project, filePath, upper(content) AS content FROM c WHERE filePath IN (SELECT filePath FROM c WHERE rec_id % 50 = 0) AND symbolType = 'function'),
+g AS (SELECT DISTINCT project, filePath FROM c WHERE rec_id % 50 = 0)
+SELECT rec_id, project, filePath, length(content) AS size FROM c WHERE (project, filePath) NOT IN (SELECT (project, filePath) FROM g) UNION ALL SELECT rec_id, project, filePath, length(content) FROM n""",
+)
+def _replaced(t):
+    c = search.current(_chunks(t), "project", "filePath", "content", "symbolType")
+    files = c.where("rec_id % 50 = 0").select("project", "filePath").distinct()
+    new = c.join(files.select("filePath").distinct(), "filePath", "left_semi").where("symbolType = 'function'").select((F.col("rec_id") + 1_000_000_000).alias("rec_id"), "project", "filePath", F.upper("content").alias("content"))
+    return chunk_table.replaced(c.select("rec_id", "project", "filePath", "content"), new, files).select("rec_id", "project", "filePath", F.length("content").cast("long").alias("size"))
+
+
+_NOW = "j AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE status WHEN 'pending' THEN 0 WHEN 'running' THEN 1 ELSE 2 END DESC, created_at DESC, type DESC) AS n FROM index_jobs) WHERE n = 1)"
+
+
+@_query("jobs_now", f"WITH {_NOW} SELECT id, status, priority FROM j")
+def _jobs(t):
+    return registry.jobs_now(t("index_jobs")).select("id", "status", "priority")
+
+
+@_query("job_claims", f"WITH {_NOW} SELECT id, priority, row_number() OVER (ORDER BY priority DESC, created_at, id) AS place FROM j WHERE status = 'pending'")
+def _claims(t):
+    return registry.claim_order(registry.jobs_now(t("index_jobs"))).select("id", "priority", "place")
+
+
+@_query("interrupted_jobs", f"WITH {_NOW} SELECT id, CASE WHEN status = 'running' THEN 'failed' ELSE status END AS status, CASE WHEN status = 'running' THEN 'interrupted by a restart' ELSE error END AS error FROM j")
+def _interrupted(t):
+    return registry.interrupted(registry.jobs_now(t("index_jobs"))).select("id", "status", "error")
+
+
+@_query("jobs_of_projects", f"WITH {_NOW} SELECT CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.project') END AS project, count(*) AS jobs FROM j GROUP BY 1")
+def _job_projects(t):
+    return registry.jobs_now(t("index_jobs")).groupBy(F.when(F.try_parse_json("payload").isNotNull(), registry.job_project()).alias("project")).agg(F.count("*").alias("jobs"))
+
+
+@_query("query_log_kept", "SELECT id, project, query FROM query_log ORDER BY id DESC, ts DESC LIMIT 500")
+def _kept(t):
+    return registry.kept_newest(t("query_log"), 500, "id", "ts").select("id", "project", "query")
+
+
+@_query("embedding_cache", f"WITH c AS (SELECT sha256(content) AS hash, vector, row_number() OVER (PARTITION BY sha256(content) ORDER BY rec_id) AS n FROM {_ONCE} WHERE content IS NOT NULL AND vector IS NOT NULL) SELECT count(*) AS entries, sum(len(vector) * 4)::BIGINT AS bytes FROM c WHERE n = 1")
+def _cache(t):
+    rows = search.current(_chunks(t), "content", "vector").where("content is not null and vector is not null")
+    first = rows.groupBy(scalars.content_hash("content").alias("hash")).agg(F.min_by("vector", "rec_id").alias("vector"))
+    return registry.cache_stats(first)
+
+
+@_query("hash_embeddings", f"SELECT rec_id, list_transform(range(0, 64), lambda i: round(((('0x' || substr(sha256(content), 2 * (i % 32) + 1, 2))::INT - 127.5) / 127.5)::FLOAT::DOUBLE, 5)) AS vector FROM {_ONCE} WHERE content IS NOT NULL")
+def _hash_embeddings(t):
+    rows = search.current(_chunks(t), "content").where("content is not null")
+    return rows.select("rec_id", F.transform(ranking.hash_embedding(F.col("content")), lambda x: F.round(x.cast("double"), 5)).alias("vector"))
+
+
+_LOGGED = "l AS (SELECT DISTINCT o_custkey % 500 AS repo, sha1(o_orderkey::VARCHAR) AS hash, o_orderpriority AS author, epoch(o_orderdate)::BIGINT * 1000 AS timestamp, o_orderkey FROM orders)"
+
+
+@_query("commit_log", f"WITH {_LOGGED}, f AS (SELECT l_orderkey, list_sort(list(DISTINCT 'src/p' || (l_partkey % 50) || '.ts')) AS files FROM lineitem GROUP BY 1) SELECT 'r' || repo AS repo, hash, author, timestamp, 'order ' || o_orderkey AS subject, array_to_string(coalesce(files, []), ',') AS files FROM l LEFT JOIN f ON l_orderkey = o_orderkey")
+def _commit_log(t):
+    """Raw logs, as git writes them, made of the orders and read again."""
+    return _commits(t).select("repo", "hash", "author", "timestamp", "subject", F.array_join("files", ",").alias("files"))
+
+
+def _commits(t):
+    files = t("lineitem").select("l_orderkey", F.concat(F.lit("src/p"), (F.col("l_partkey") % 50).cast("string"), F.lit(".ts")).alias("f")).distinct().groupBy("l_orderkey").agg(F.sort_array(F.collect_list("f")).alias("files"))
+    o = t("orders").join(files, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    key = F.col("o_orderkey").cast("string")
+    head = F.concat_ws("\x1f", F.sha1(key), F.substring(F.sha1(key), 1, 7), F.col("o_orderpriority"), F.lit("a@b"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.unix_timestamp("o_orderdate").cast("string"), F.concat(F.lit("order "), key), F.lit(""))
+    names = F.array_join(F.transform(F.coalesce("files", F.array().cast("array<string>")), lambda x, i: F.when(i == 0, F.concat(F.lit("\n"), x)).otherwise(x)), "\x00")
+    raw = o.select(F.concat(F.lit("r"), (F.col("o_custkey") % 500).cast("string")).alias("repo"), "o_orderkey", F.concat_ws("\x00", head, F.when(names != "", names)).alias("token"))
+    return history.parse_log(raw.groupBy("repo").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "token"))), lambda x: x["token"]), "\x00").alias("raw")))
+
+
+@_query("commit_churn", "WITH n AS (SELECT o_orderkey FROM (SELECT *, sha1(o_orderkey::VARCHAR) AS h FROM orders) ORDER BY epoch(o_orderdate)::BIGINT DESC, h LIMIT 5000) SELECT 'src/p' || (l_partkey % 50) || '.ts' AS filePath, count(DISTINCT l_orderkey) AS churn FROM lineitem JOIN n ON o_orderkey = l_orderkey GROUP BY 1")
+def _churn(t):
+    return history.churn(_commits(t))
+
+
+@_query("commit_search", "SELECT sha1(o_orderkey::VARCHAR) AS hash, 'order ' || o_orderkey AS subject FROM orders WHERE regexp_matches('order ' || o_orderkey, '(?i)ORDER .*77') AND regexp_matches(o_orderpriority, '(?i)urgent|high') ORDER BY epoch(o_orderdate)::BIGINT DESC, hash LIMIT 50")
+def _commit_search(t):
+    return history.search_commits(_commits(t), "ORDER .*77", "urgent|high").select("hash", "subject")
+
+
+@_query(
+    "blame_summary",
+    """WITH l AS (SELECT l_partkey % 200 AS f, l_linenumber AS line, sha1((l_orderkey % 3000)::VARCHAR) AS sha, l_shipmode AS author, epoch(l_shipdate)::BIGINT * 1000 AS author_time FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode FROM lineitem)),
+r AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY author_time DESC, line DESC, author DESC, sha DESC) AS n FROM l)
+SELECT f::VARCHAR AS filePath, strftime(make_timestamp(max(CASE WHEN n = 1 THEN author_time END) * 1000), '%Y-%m-%d') AS lastCommitDate, least(count(DISTINCT sha), 10) AS distinctCommits, count(DISTINCT sha) > 10 AS distinctTruncated FROM r GROUP BY f""",
+)
+def _blame(t):
+    lines = t("lineitem").select((F.col("l_partkey") % 200).cast("string").alias("filePath"), F.col("l_linenumber").alias("line"), F.sha1((F.col("l_orderkey") % 3000).cast("string")).alias("sha"), F.concat("l_returnflag", "l_linestatus").alias("author"), (F.unix_timestamp("l_shipdate") * 1000).alias("author_time"))
+    return history.blame_summary(lines, "filePath").drop("lastAuthor")
+
+
+def _documents(t):
+    return t("documents").where("text is not null").select("project", F.concat_ws("/", F.lit("docs"), "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("doc"), "text")
+
+
+@_query("doc_claims")
+def _doc_claims(t):
+    claims = conformance.spans(_documents(t))
+    return claims.withColumn("class", conformance.span_class(F.col("token"))).where("class is not null")
+
+
+@_query("doc_findings")
+def _doc_findings(t):
+    roots = t("project_indexes").select(F.col("name").alias("project"), "path")
+    rows = conformance.demoted(conformance.verdicts(conformance.spans(_documents(t)), _chunks(t), roots))
+    return conformance.findings(rows)
+
+
+@_query("undocumented_symbols")
+def _undocumented(t):
+    return conformance.undocumented(_chunks(t), conformance.spans(_documents(t)))
+
+
+_BARE = f"s AS (SELECT DISTINCT project, regexp_extract(symbolName, '[^.]*$') AS name FROM {_ONCE} WHERE symbolName <> '')"
+
+
+@_query(
+    "nearest_names",
+    f"""WITH {_BARE}, t AS (SELECT DISTINCT project, regexp_extract(symbolName, '[^.]*$') || 'x' AS token FROM {_ONCE} WHERE rec_id % 50 = 0 AND symbolName <> ''),
+p AS (SELECT project, token, name, lower(regexp_replace(token, '[_$-]', '', 'g')) AS a, lower(regexp_replace(name, '[_$-]', '', 'g')) AS b FROM t JOIN s USING (project)), q AS (SELECT *, 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) AS sim FROM p WHERE length(a) BETWEEN 2 AND 64 AND length(b) BETWEEN 2 AND 64 AND abs(length(a) - length(b)) <= 3)
+SELECT project, token, name AS suggestion, round(sim, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY project, token ORDER BY sim DESC, name) AS n FROM q WHERE sim > 0.6) WHERE n = 1""",
+)
+def _nearest_names(t):
+    rows = search.current(_chunks(t), "project", "symbolName").where("symbolName <> ''").withColumn("name", identifiers.bare_name("symbolName"))
+    return conformance.nearest_names(rows.where("rec_id % 50 = 0").select("project", F.concat("name", F.lit("x")).alias("token")), rows)
+
+
+@_query("exact_constants")
+def _constants(t):
+    return conformance.constants(_chunks(t))
+
+
+@_query(
+    "session_ttl",
+    """WITH b AS (SELECT coalesce(project, '*') AS project, ts, ts - lag(ts) OVER (PARTITION BY coalesce(project, '*') ORDER BY ts) AS gap FROM query_log), s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= INTERVAL 10 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY project ORDER BY ts RANGE UNBOUNDED PRECEDING) AS n FROM b)
+SELECT project, epoch_us(min(ts)) AS session_start, epoch_us(max(ts) + INTERVAL 10 MINUTE) AS session_end, count(*) AS beats FROM s GROUP BY project, n""",
+)
+def _sessions(t):
+    rows = streams.sessions(t("query_log").withColumn("project", F.coalesce("project", F.lit("*"))), "ts", "project")
+    return rows.select("project", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "beats")
+
+
+def _events(t):
+    return t("events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@_query("event_windows", "SELECT epoch_ms(time_bucket(INTERVAL 1 HOUR, ts)) AS window_start, event_type, count(*) AS events FROM events GROUP BY ALL")
+def _tumbling(t):
+    return streams.counts_by_window(_events(t), "ts", "event_type", "1 hour").withColumn("window_start", F.unix_millis("window_start"))
+
+
+@_query("event_sliding_windows", "SELECT epoch_ms(time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE * k) AS window_start, event_type, count(*) AS events FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY ALL")
+def _sliding(t):
+    return streams.counts_by_window(_events(t), "ts", "event_type", "1 hour", "30 minutes").withColumn("window_start", F.unix_millis("window_start"))
+
+
+@_query("event_ring", "SELECT event_id AS id, event_type FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 512) WHERE event_id > (SELECT max(event_id) - 100 FROM events)")
+def _ring(t):
+    rows = t("events").select(F.col("event_id").alias("id"), "event_type")
+    last = rows.agg(F.max("id")).first()[0]
+    return streams.ring(rows, last - 100)
+
+
+@_query("last_changes", "SELECT user_id::VARCHAR AS project, event_type AS filePath, max(epoch_ms(ts)) AS ts, count(*) > 0 AS there FROM events GROUP BY ALL")
+def _coalesced(t):
+    rows = _events(t).select(F.col("user_id").cast("string").alias("project"), F.col("event_type").alias("filePath"), F.lit("change").alias("event"), F.unix_millis("ts").alias("ts"))
+    return streams.coalesced(rows).select("project", "filePath", "ts", F.lit(True).alias("there"))
+
+
+@_query("table_names", "SELECT name, CASE WHEN coalesce(table_name, '') <> '' THEN table_name ELSE 'idx_' || regexp_replace(name, '[^A-Za-z0-9_]', '_', 'g') END AS table_name FROM project_indexes")
+def _table_names(t):
+    return t("project_indexes").select("name", scalars.stored_table_name("name", "table_name").alias("table_name"))
+
+
+@_query("orphan_tables", "SELECT DISTINCT 'idx_' || project AS table_name FROM code_records WHERE 'idx_' || project NOT IN (SELECT table_name FROM project_indexes WHERE table_name IS NOT NULL)")
+def _orphans(t):
+    return reports.orphan_tables(_chunks(t).where("project is not null").select(scalars.table_name("project").alias("table_name")), t("project_indexes").where("table_name is not null"))
+
+
+@_query("corpus_stats", f"WITH d AS (SELECT project AS scope, len(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+')) AS dl FROM {_ONCE} WHERE content IS NOT NULL) SELECT scope, count(*) AS n, round(avg(dl), 6) AS avgdl FROM d WHERE dl > 0 GROUP BY scope")
+def _stats(t):
+    docs = search.current(_chunks(t), "project", "content").select(F.col("project").alias("scope"), F.col("rec_id").alias("id"), F.col("content").alias("text"))
+    return ranking.corpus_stats(docs, ranking.words("text")).withColumn("avgdl", F.round("avgdl", 6))
+
+
+@_query("worst_health", """WITH f AS (SELECT i.name AS project, CASE WHEN i.status = 'error' OR r.n IS NULL THEN 2 WHEN i.status IS DISTINCT FROM 'indexing' AND (r.n <> chunk_count OR file_count = 0) OR r.n >= 50000 THEN 1 ELSE 0 END AS s FROM project_indexes i LEFT JOIN (SELECT project, count(DISTINCT rec_id) AS n FROM code_records GROUP BY 1) r ON r.project = i.name)
+SELECT project, CASE s WHEN 2 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'ok' END AS status FROM f""")
+def _worst(t):
+    return reports.index_health(t("project_indexes"), _chunks(t)).groupBy("project").agg(reports.worst(F.col("status")).alias("status"))

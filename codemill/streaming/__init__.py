@@ -1 +1 @@
-"""codemill.streaming"""
+"""Streams: file changes into the code table, events, sessions, windows."""
