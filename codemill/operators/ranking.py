@@ -57,12 +57,11 @@ def bm25(queries: DataFrame, docs: DataFrame, terms: Callable[[str], Column] = w
     queries: query_id, scope (null: every scope), text. docs: scope, id, text. Document frequencies and lengths are those of
     the document's scope. A query without terms has no rows; terms of a query count once."""
     asked = queries.select("query_id", F.col("scope").alias("q_scope"), F.explode(F.array_distinct(terms("text"))).alias("term"))
-    found = postings(docs, terms("text"), asked)
-    freq = found.groupBy("scope", "term").agg(F.count("*").alias("df"))
+    found = postings(docs, terms("text"), asked).withColumn("df", F.count("*").over(Window.partitionBy("scope", "term")))
     stats = corpus_stats(docs, terms("text"))
     weight = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = found.join(freq, ["scope", "term"]).join(stats, "scope").select("scope", "id", "term", (weight * saturated).alias("part"))
+    scored = found.join(stats, "scope").select("scope", "id", "term", (weight * saturated).alias("part"))
     own = asked.where("q_scope is not null").select("query_id", "term", F.col("q_scope").alias("scope")).join(scored, ["scope", "term"])
     every = asked.where("q_scope is null").select("query_id", "term").join(scored, "term")
     cols = ["query_id", "id", "part"]
@@ -140,12 +139,16 @@ def fused(legs: DataFrame, k: int = RRF_K) -> DataFrame:
 
 
 def combined(legs: DataFrame) -> DataFrame:
-    """query_id, id, score, metric, first: fusion where two legs or more of a query have rows (metric rrf); where only one has,
-    its own metric is kept (metric is the leg's name; a distance is negated, so that more is better)."""
-    alive = legs.groupBy("query_id").agg(F.countDistinct("leg").alias("alive"), F.max("leg").alias("only"))
-    native = legs.groupBy("query_id", "id").agg(F.max("native").alias("native"))
-    rows = fused(legs).join(alive, "query_id").join(native, ["query_id", "id"])
-    return rows.select("query_id", "id", F.when(F.col("alive") > 1, F.col("score")).otherwise(F.col("native")).alias("score"), F.when(F.col("alive") > 1, F.lit("rrf")).otherwise(F.col("only")).alias("metric"), "first")
+    """query_id, id, score, metric, first, legs: fusion where two legs or more of a query have rows (metric rrf); where only one
+    has, its own metric is kept (metric is the leg's name; a distance is negated, so that more is better). legs are the names of
+    those that have the row. One shuffle on query_id; the legs are read once."""
+    alive = F.size(F.collect_set("leg").over(Window.partitionBy("query_id")))
+    best = legs.withColumn("alive", alive).groupBy("query_id", "alive", "leg", "leg_ord", "id").agg(F.min("rank").alias("rank"), F.max("weight").alias("weight"), F.max("native").alias("native"))
+    rows = best.groupBy("query_id", "id").agg(
+        F.sum(F.col("weight") / (RRF_K + F.col("rank"))).alias("fused"), F.min(F.struct("leg_ord", "rank")).alias("first"), F.max("native").alias("native"), F.max("alive").alias("alive"), F.collect_set("leg").alias("legs")
+    )
+    many = F.col("alive") > 1
+    return rows.select("query_id", "id", F.when(many, F.col("fused")).otherwise(F.col("native")).alias("score"), F.when(many, F.lit("rrf")).otherwise(F.col("legs")[0]).alias("metric"), "first", "legs")
 
 
 def boosted(rows: DataFrame, relative: Column, boost: Boost = Boost(), score: str = "score") -> DataFrame:

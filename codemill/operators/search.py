@@ -110,9 +110,9 @@ def search(
     pool = leg_pool(limit, mode)
     found = legs(queries, chunks, mode, pool, embed, where, doc)
     rows = ranking.combined(found)
-    doc_hits = found.where(F.col("leg").isin("doc", "doc_vector")).select("query_id", "id", F.lit(True).alias("doc_hit")).distinct()
     wanted = ["filePath", "symbolName", "startLine", "endLine", "project", *(["vector"] if mmr else []), *(["content"] if max_chars or judge is not None else [])]
-    rows = rows.join(current(chunks, *wanted).withColumnRenamed("rec_id", "id"), "id").join(doc_hits, ["query_id", "id"], "left")
+    rows = rows.withColumn("doc_hit", F.arrays_overlap("legs", F.array(F.lit("doc"), F.lit("doc_vector")))).drop("legs")
+    rows = rows.join(current(chunks, *wanted).withColumnRenamed("rec_id", "id"), "id")
     relative = F.col("filePath")
     if roots is not None:
         rows = rows.join(roots.select("project", F.col("path").alias("_root")).dropDuplicates(["project"]), "project", "left")
@@ -131,7 +131,7 @@ def search(
     rows = rows.where(F.col("rank") <= limit)
     if max_chars:
         rows = ranking.within_budget(rows, result_size("content"), max_chars)
-    out = ["query_id", "rank", F.col("id").alias("rec_id"), "score", "metric", F.coalesce("doc_hit", F.lit(False)).alias("doc_hit"), "filePath", "symbolName", "startLine", "endLine", "project"]
+    out = ["query_id", "rank", F.col("id").alias("rec_id"), "score", "metric", "doc_hit", "filePath", "symbolName", "startLine", "endLine", "project"]
     return rows.select(*out, *(["omitted"] if max_chars else []), *(["content"] if max_chars else []))
 
 

@@ -443,14 +443,14 @@ def _sync_plan(t):
 
 @_query(
     "replaced_files",
-    f"""WITH c AS (SELECT rec_id, project, filePath, content, symbolType FROM {_ONCE}), n AS (SELECT rec_id + 1000000000 AS rec_id, project, filePath, upper(content) AS content FROM c WHERE filePath IN (SELECT filePath FROM c WHERE rec_id % 50 = 0) AND symbolType = 'function'),
+    f"""WITH c AS (SELECT rec_id, project, filePath, content, symbolType FROM {_ONCE}), n AS (SELECT rec_id + 1000000000 AS rec_id, project, filePath, 'x' || content AS content FROM c WHERE filePath IN (SELECT filePath FROM c WHERE rec_id % 50 = 0) AND symbolType = 'function'),
 g AS (SELECT DISTINCT project, filePath FROM c WHERE rec_id % 50 = 0)
 SELECT rec_id, project, filePath, length(content) AS size FROM c WHERE (project, filePath) NOT IN (SELECT (project, filePath) FROM g) UNION ALL SELECT rec_id, project, filePath, length(content) FROM n""",
 )
 def _replaced(t):
     c = search.current(_chunks(t), "project", "filePath", "content", "symbolType")
     files = c.where("rec_id % 50 = 0").select("project", "filePath").distinct()
-    new = c.join(files.select("filePath").distinct(), "filePath", "left_semi").where("symbolType = 'function'").select((F.col("rec_id") + 1_000_000_000).alias("rec_id"), "project", "filePath", F.upper("content").alias("content"))
+    new = c.join(files.select("filePath").distinct(), "filePath", "left_semi").where("symbolType = 'function'").select((F.col("rec_id") + 1_000_000_000).alias("rec_id"), "project", "filePath", F.concat(F.lit("x"), "content").alias("content"))
     return chunk_table.replaced(c.select("rec_id", "project", "filePath", "content"), new, files).select("rec_id", "project", "filePath", F.length("content").cast("long").alias("size"))
 
 
@@ -607,9 +607,9 @@ def _ring(t):
     return streams.ring(rows, last - 100)
 
 
-@_query("last_changes", "SELECT user_id::VARCHAR AS project, event_type AS filePath, max(epoch_ms(ts)) AS ts, count(*) > 0 AS there FROM events GROUP BY ALL")
+@_query("last_changes", "SELECT user_id::VARCHAR AS project, event_type AS filePath, max(epoch_us(ts)) AS ts, count(*) > 0 AS there FROM events GROUP BY ALL")
 def _coalesced(t):
-    rows = _events(t).select(F.col("user_id").cast("string").alias("project"), F.col("event_type").alias("filePath"), F.lit("change").alias("event"), F.unix_millis("ts").alias("ts"))
+    rows = _events(t).select(F.col("user_id").cast("string").alias("project"), F.col("event_type").alias("filePath"), F.lit("change").alias("event"), F.unix_micros("ts").alias("ts"))
     return streams.coalesced(rows).select("project", "filePath", "ts", F.lit(True).alias("there"))
 
 

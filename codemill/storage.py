@@ -14,19 +14,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where it is unset (tests, local mode) a local folder is set once per session."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a local session (as in tests) gets a folder of its own; on a
+    cluster that is an error, as a machine's own folder would lose its part with the machine."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
         found = os.path.join(tempfile.gettempdir(), f"codemill-{uuid.uuid4().hex}")
         sc.setCheckpointDir(found)
     return found
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table into the shared folder and read it again: the lineage is cut, columns stay prunable,
-    and the table outlives any executor."""
+    """Write df as a Parquet table into the shared folder and read it again: the lineage is cut, columns stay prunable, and the
+    table outlives any executor. The folder is deleted when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/codemill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
