@@ -5,7 +5,8 @@ corpus is encoded once; ids are joined back and documents put together by positi
 
 To keep the shuffle small, words are made distinct within blocks of documents first: a block holds its documents as positions
 in the block's own word list, and only (block, word number, word) rows are shuffled. A block is bounded by characters, and a
-longer text is a block of its own.
+longer text is a block of its own. A word that stands in most blocks makes its partition of the join large; the join's result
+goes to another shuffle, so adaptive execution is free to split such a partition on the side of the places.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,10 +50,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs: list[int] = []
     sizes: list[int] = []
     codes: list[np.ndarray] = []
-    held = 0
+    held, emitted = 0, 0
+    first = TaskContext.get().partitionId() << 32  # a task that runs again gives its blocks the same numbers
 
     def emit() -> pa.RecordBatch:
-        block = int.from_bytes(os.urandom(8), "little", signed=True)
+        nonlocal emitted
+        block = first + emitted
+        emitted += 1
         one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
         return pa.RecordBatch.from_arrays(
             [pa.array([block]), one(docs, pa.int64()), one(sizes, pa.int32()), one(np.concatenate(codes) if codes else [], pa.int32()), one(list(number), pa.string())],
