@@ -5,8 +5,8 @@ shard becomes a BK-tree (children keyed by the integer Hamming distance to their
 edges within the radius. Candidates are then verified by the exact Jaccard similarity of their shingle sets.
 
 Trees travel with their shard through the shuffle and are not broadcast from the driver, as their total size grows with the
-data. A shard of more than BLOCK members is cut into blocks; each pair of blocks is one tree and one set of probes, in tasks
-of its own, so that no member and no link is lost in a hot shard.
+data. Shards are counted first. One of more than BLOCK members is cut into blocks before it is shuffled; each pair of blocks is
+one tree and one set of probes, in tasks of its own, so that no member and no link is lost in a hot shard.
 
 For a pair at the threshold 0.6, 30 bands of three values miss with probability (1 - 0.6**3)**30 = 0.0007, and radius 46 of
 128 bits (mean 25.6, deviation 4.5) misses fewer than 1 in 100,000.
@@ -124,45 +124,33 @@ def _codes(c0: np.ndarray, c1: np.ndarray) -> list[int]:
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shard in, candidate pairs out: (a, b, null, ...). Members of a shard of more than BLOCK rows come out
-    again as (null, null, shard, rec, c0, c1), for the block stage."""
-    names = ["a", "b", "shard", "rec", "c0", "c1"]
-    held: list[np.ndarray] = []
+    """Rows (shard, rec, c0, c1) sorted by shard in, candidate pairs a, b out. No shard here has more than BLOCK rows."""
+    held = np.empty((0, 4), np.int64)
 
     def solve(part: np.ndarray) -> pa.RecordBatch:
         key = part[:, 0]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
-        pairs: list[tuple[int, int]] = []
-        hot: list[np.ndarray] = []
+        pairs: set[tuple[int, int]] = set()
         for at, n in zip(starts[sizes > 1], sizes[sizes > 1]):
             rows = part[at : at + n]
-            if n > BLOCK:
-                hot.append(rows)
-                continue
             tree = BKTree()
             for rec, code in zip(rows[:, 1].tolist(), _codes(rows[:, 2].copy(), rows[:, 3].copy())):
-                pairs += [(min(rec, x), max(rec, x)) for x in tree.within(code, RADIUS) if x != rec]
+                pairs.update((min(rec, x), max(rec, x)) for x in tree.within(code, RADIUS) if x != rec)
                 tree.add(code, rec)
-        pairs = list(set(pairs))
-        over = np.concatenate(hot) if hot else np.empty((0, 4), np.int64)
-        n, m = len(pairs), len(over)
-        flat = np.array(pairs, np.int64).reshape(n, 2)
-        lead = [pa.concat_arrays([pa.array(flat[:, i]), pa.nulls(m, pa.int64())]) for i in (0, 1)]
-        rest = [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(over[:, i].copy())]) for i in range(4)]
-        return pa.RecordBatch.from_arrays(lead + rest, names=names)
+        flat = np.array(list(pairs), np.int64).reshape(len(pairs), 2)
+        return pa.RecordBatch.from_arrays([pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], names=["a", "b"])
 
     for batch in batches:
-        held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1))
-        whole = np.concatenate(held)
+        whole = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)])
         if not len(whole):
             continue
         cut = int(np.searchsorted(whole[:, 0], whole[-1, 0]))  # the last shard may go on
-        held = [whole[cut:]]
+        held = whole[cut:]
         if cut:
             yield solve(whole[:cut])
-    if held and len(held[0]):
-        yield solve(np.concatenate(held))
+    if len(held):
+        yield solve(held)
 
 
 def _blocks(key: tuple, part: pa.Table) -> pa.Table:
@@ -194,19 +182,19 @@ def classes_and_links(chunks: DataFrame, rec_id: str = "rec_id", content: str =
     )
     first = features.groupBy("class_key").agg(F.min("rec_id").alias("rep"))
     members = features.select("rec_id", "class_key").distinct().join(first, "class_key").select("rec_id", "rep")
-    reps = features.groupBy("class_key").agg(F.min_by(F.struct("rec_id", "bands", "c0", "c1"), "rec_id").alias("r")).select("r.*")
+    reps = staged(features.groupBy("class_key").agg(F.min_by(F.struct("rec_id", "bands", "c0", "c1"), "rec_id").alias("r")).select("r.*"), "near-duplicate-codes")
     postings = reps.select(F.explode("bands").alias("shard"), F.col("rec_id").alias("rec"), "c0", "c1")
-    found = postings.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shards, "a long, b long, shard long, rec long, c0 long, c1 long")
-    found = staged(found, "near-duplicate-pairs")
-    hot = found.where(F.col("shard").isNotNull())
-    per = hot.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n_blocks"))
+    # shards are counted before anything is brought together by shard: hot ones never reach a task as a whole
+    per = staged(postings.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("shard", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("n_blocks")), "near-duplicate-hot")
+    found = postings.join(per.select("shard"), "shard", "left_anti").repartition("shard").sortWithinPartitions("shard").mapInArrow(_shards, "a long, b long")
+    hot = postings
     placed = hot.join(per, "shard").withColumn("block", F.pmod(F.xxhash64("rec"), F.col("n_blocks")).cast("int"))
     sides = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     sides = sides.select(
         "shard", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "rec", "c0", "c1"
     )
     more = sides.groupBy("shard", "i", "j").applyInArrow(_blocks, "a long, b long")
-    pairs = found.where(F.col("a").isNotNull()).select("a", "b").union(more).distinct()
+    pairs = staged(found.union(more).distinct(), "near-duplicate-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rec_id")).distinct()
     sets = features.select("rec_id", "shingles").join(wanted, "rec_id", "left_semi").dropDuplicates(["rec_id"])
     left, right = sets.select(F.col("rec_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("rec_id").alias("b"), F.col("shingles").alias("sb"))
