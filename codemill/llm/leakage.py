@@ -4,7 +4,9 @@ Method: exact look-up of shared runs. The shingles are runs of eight words, and
 MinHash sketch that loses none must keep all of an item's shingles. All hashes of an item are kept, without partitions by
 size; those of the documents are looked up in them, and every hit is verified by comparing the eight words themselves.
 
-Items are a small fixed set; their hashes are broadcast only up to SENT_ROWS shingles and joined by a shuffle beyond that.
+Items are a small fixed set; their hashes are broadcast only up to SENT_ROWS shingles and SENT_BYTES and joined by a shuffle
+beyond that. There a run of boilerplate that many documents share makes a skewed partition of the documents' side, which
+adaptive execution may split.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
 RUN = 8
-SENT_ROWS = 200_000
+#: Shingles, and bytes of their words, up to which the items are broadcast. Both ways give the same pairs.
+SENT_ROWS, SENT_BYTES = 200_000, 64 << 20
 _MIX = np.random.default_rng(9).integers(1, 2**63, RUN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -106,8 +109,9 @@ def leaked(documents: DataFrame, items: DataFrame, sent_rows: int = SENT_ROWS) -
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     tests = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     sketches = tests.mapInArrow(_item_runs, "item_id long, value long, run string")
-    head = sketches.limit(sent_rows + 1).toArrow()
-    if head.num_rows <= sent_rows:
+    size = sketches.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("run")), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= sent_rows and size["bytes"] <= SENT_BYTES:
+        head = sketches.toArrow()
         value = head.column("value").to_numpy().view(np.uint64)
         order = np.argsort(value, kind="stable")
         distinct, starts = np.unique(value[order], return_index=True)
