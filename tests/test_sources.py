@@ -3,6 +3,7 @@
 import os
 import random
 import subprocess
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -233,7 +234,7 @@ def test_revisions_and_retries(spark):
 def test_job_queue_and_events():
     ring, order = EventRing(3), []
     queue = JobQueue(1, lambda kind, job: ring.add(kind, job=job.id))
-    gate = __import__("threading").Event()
+    gate = threading.Event()
     queue.register("wait", lambda job, progress: gate.wait(10))
     queue.register("note", lambda job, progress: order.append(job.payload["n"]))
     queue.register("bad", lambda job, progress: 1 / 0)
