@@ -2,13 +2,15 @@
 
 Method: settings (env, toml, yaml, json) are parsed into key paths with byte offsets; source text gives names with the
 literals that they are set to. A value counts if its key name is sensitive and its shape is that of a secret, or if its shape
-alone tells (provider tokens, addresses with a password, authorization headers, private key blocks). Redactions are spliced
-into the original bytes, so that everything else stays as it is.
+alone tells (provider tokens, addresses with a password, authorization headers, private key blocks), or if it stands where a
+call or a note about a login has the password. Redactions are spliced into the original bytes, so that everything else stays
+as it is.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -32,7 +34,9 @@ class Secret(NamedTuple):
 
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: Name parts that make a key sensitive, alone or before "key" and "id".
-SENSITIVE = {"password", "passwd", "pwd", "pass", "passphrase", "passcode", "secret", "token", "apikey", "jwt", "bearer", "auth", "authorization", "credential", "credentials", "pat"}
+SENSITIVE = {"password", "passwd", "pwd", "pass", "passphrase", "passcode", "secret", "token", "apikey", "jwt", "bearer", "auth", "authorization", "credential", "credentials", "pat", "pswd", "creds"}
+#: The word for a password in other languages, without accents.
+SENSITIVE |= {"kennwort", "passwort", "losungswort", "zugangscode", "motdepasse", "passe", "mdp", "contrasena", "contrasenya", "clave", "senha", "parola", "wachtwoord", "losenord", "passord", "adgangskode", "kodeord", "salasana", "haslo", "heslo", "jelszo", "lozinka", "geslo", "sifre", "parol"}
 BEFORE_KEY = {"api", "aws", "cloud", "service", "access", "secret", "private", "salt", "signing", "encryption", "master", "storage", "account", "client", "server", "deploy", "session", "cookie", "hmac", "webhook", "stripe", "license", "crypt", "auth", "app", "admin"}
 #: A name that ends so speaks about a secret and does not hold one.
 NOT_LAST = {"file", "path", "dir", "url", "uri", "name", "type", "length", "len", "count", "ttl", "expiry", "expires", "header", "field", "label", "hint", "prompt", "policy", "hash", "sum", "checksum", "public", "ref", "size", "id", "timeout", "format", "regex", "pattern"}
@@ -42,7 +46,7 @@ ABOUT = {"user", "username", "email", "mail", "host", "hostname", "port", "regio
 STRING = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`(?:[^`\\\n]|\\.)*`'
 LITERAL = re.compile(STRING)
 ASSIGNED = re.compile(
-    rf"""(?<![\w.$\-])(?P<key>[A-Za-z_$][\w.$\-]*)["'`]?\]?(?:\s*(?::\s*[A-Za-z_][\w<>\[\] |]*?=|:=|=>|==?|:)\s*|[ \t]*,[ \t]*)(?P<open>\(\s*)?"""
+    rf"""(?<![\w.$\-])(?P<key>[A-Za-z_$][\w.$\-]*)["'`]?\]?(?:\s*(?::[ \t]*(?P<type>[A-Za-z_][\w<>\[\] |]*?)=|:=|=>|==?|:)\s*|[ \t]*,[ \t]*)(?P<open>\(\s*)?"""
     rf"""(?P<value>(?:{STRING})(?:(?:\s*\+\s*|[ \t]*(?:\\\r?\n[ \t]*)?|(?(open)\s*))(?:{STRING}))*)"""
 )
 LOOSE = re.compile(r"""(?P<key>[A-Za-z_][\w.\-]*)\s*(?::=|=|:)\s*(?P<value>[^\s"'`(){}\[\];,<>]{8,})""")
@@ -53,6 +57,14 @@ PROVIDER = re.compile(
 )
 ADDRESS = re.compile(r"(?<=[a-z0-9+.\-])://[^\s:/@\"'`<>]*:(?P<value>[^\s/@\"'`<>]+)@[\w.\-]")
 HEADER = re.compile(r"(?i)\b(?:basic|bearer|token)[ \t]+(?P<value>[A-Za-z0-9+/=_.\-]{12,})")
+#: The password of a call that takes it by position, after a place and an account or after an account.
+_ARGUMENT = rf"(?:(?:{STRING})|[\w.$]+)\s*,\s*"
+CALL = re.compile(
+    rf"(?i)(?:\b|_)(?:(?:re)?connect(?:_?(?:to|async|sync))?|log_?[io]n|sign_?in|auth(?:enticate|orize)?|basic_?auth|credentials?)\(\s*(?P<args>{_ARGUMENT}(?:{_ARGUMENT})?)"
+    rf"(?P<value>(?:{STRING})(?:(?:\s*\+\s*|[ \t]+)(?:{STRING}))*)"
+)
+#: A note of a login: account / password.
+LOGIN = re.compile(r"(?i)\b(?:log[ \-]?[io]n|sign[ \-]?in|credentials?|creds)\b[^\n/\"'`]{0,60}?[\w.@\-]+[ \t]+/[ \t]+(?P<value>[^\s\"'`]+)")
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PEM_BODY = re.compile(r"(?:\s|\\n|\\r|[\"'`+,;]|[A-Z][\w\-]*:[^\n]*\n)*[A-Za-z0-9+/=]{40,}")
 PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
@@ -64,7 +76,7 @@ PLAIN = re.compile(r"^(?:[a-zA-Z]+|[\d.,:]+[a-zA-Z]{0,3}|[a-z]+(?:[ _./\-][a-z]+
 
 
 def name_parts(name: str) -> list[str]:
-    return [p.lower() for p in PART.findall(name)]
+    return [p.lower() for p in PART.findall("".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c)))]
 
 
 def sensitive(name: str) -> bool:
@@ -94,9 +106,20 @@ def under_sensitive(path: tuple[str, ...]) -> bool:
     return False
 
 
+def _random_key(v: str) -> bool:
+    """Whether a value that begins as a path does is base64 of random bytes: no parts that are words, and letters of either
+    case and digits in turn."""
+    if not re.fullmatch(r"/[A-Za-z0-9+/]{23,}={0,2}", v) or any(re.fullmatch(r"[a-z]{3,}|[A-Z][a-z]{2,}", p) for p in re.split(r"[/+]", v)):
+        return False
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in v]
+    return {"d", "u", "l"} <= set(kinds) and sum(a != b for a, b in zip(kinds, kinds[1:])) >= 0.4 * len(v)
+
+
 def secret_shape(value: str) -> bool:
     """Whether the value looks random or like a password, and not like a word, number, path, reference or placeholder."""
     v = value.strip()
+    if v[:1] == "/" and _random_key(v):
+        v = v[1:]
     if len(v) < 8 or PLACEHOLDER.search(v) or PLAIN.match(v) or re.search(r"\s", v):
         return False
     if len(set(v)) < 5:
@@ -219,9 +242,12 @@ def config_entries(text: str, kind: str) -> Iterator[tuple[tuple[str, ...], Entr
 def source_entries(text: str) -> Iterator[Entry]:
     """Names and the literals that they are set to, on their line or after it; loose name = value pairs in comments too."""
     for m in ASSIGNED.finditer(text):
-        if sensitive(m["key"]) or "://" in m["value"] or m["value"].count(m["value"][0]) > 2:
+        key = m["key"]
+        if m["type"] and not sensitive(key) and sensitive(m["type"].rstrip()):  # if x: token = "..."
+            key = m["type"].rstrip()
+        if sensitive(key) or "://" in m["value"] or m["value"].count(m["value"][0]) > 2:
             value, spans = _joined(text, m.start("value"), m.end("value"))
-            yield Entry(m["key"], m["key"], value, spans)
+            yield Entry(key, key, value, spans)
     done = 0
     for c in COMMENT.finditer(text):
         if c.end() <= done:
@@ -256,6 +282,15 @@ def find_secrets(text: str, path: str | None = None) -> list[Secret]:
     for m in HEADER.finditer(text):
         if secret_shape(m["value"]):
             found.append(Secret("header", "", [m.span("value")]))
+    for m in CALL.finditer(text):
+        value, spans = _joined(text, m.start("value"), m.end("value"))
+        by_place = "connect" in text[m.start() : m.start("args")].lower()
+        if secret_shape(value) and (not by_place or len(re.findall(_ARGUMENT, m["args"])) == 2):
+            found.append(Secret("login", "", spans))
+    for m in LOGIN.finditer(text):
+        v = m["value"].rstrip(".,;)")
+        if secret_shape(v):
+            found.append(Secret("login", "", [(m.start("value"), m.start("value") + len(v))]))
     for m in PEM.finditer(text):
         if PEM_BODY.match(text, m.end()):
             end = PEM_END.search(text, m.end())
